@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, ship
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
-#: One-wildcard buckets of up to so many fingerprints are compared pairwise; larger ones are keyed more finely.
-PAIRWISE = 32
+#: One-wildcard buckets of up to so many fingerprints are compared pairwise; larger ones are keyed more finely, and so are
+#: segments that more than CROWDED fingerprints share, before they come to a bucket: then no bucket exceeds 2 * CROWDED.
+PAIRWISE, CROWDED = 32, 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -55,25 +56,31 @@ def hamming_links(fps: DataFrame, name: str = "fp") -> DataFrame:
     variants of its segments that have one bit wiped out, and equal variants are verified. Of a pair of values all links
     are returned when a bucket has up to PAIRWISE members. Values in larger buckets are indexed under all variants
     with two of the 64 bits wiped out, which at most four values share: there every link is returned as it is or through
-    a chain of links, in a number that grows with the members and not with their square.
+    a chain of links, in a number that grows with the members and not with their square. Values of a crowded segment, and those
+    that differ from it in one bit, go there at once. Rows are shuffled by bucket once.
     """
-    fps = fps.select(F.col(name).alias("fp")).distinct()
-    low = F.expr("(fp & 4294967295) & ~shiftleft(1L, t)")
-    high = F.expr("shiftrightunsigned(fp, 32) & ~shiftleft(1L, t - 32)")
-    keyed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("t"))
-    keyed = keyed.select("fp", (F.when(F.col("t") < 32, low).otherwise(high) + F.shiftleft(F.col("t").cast("long"), 32)).alias("key"))
-    buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
+    spark = fps.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fps = cut(fps.select(F.col(name).alias("fp")).distinct().repartition(parts, "fp"), "distinct").repartition(parts, "fp")
     near = F.expr(f"bit_count(lo ^ hi) <= {MAX_DISTANCE}")
-    twos = buckets.where("n = 2").select("lo", "hi").where(near)
-    members = cut(keyed.join(buckets.where("n > 2").select("key", "n"), "key").select("key", "n", "fp"), "members")
-    few = members.where(F.col("n") <= PAIRWISE)
-    pairs = few.select("key", F.col("fp").alias("lo")).join(few.select("key", F.col("fp").alias("hi")), "key").where("lo < hi").where(near).select("lo", "hi")
-    many = members.where(F.col("n") > PAIRWISE).select("fp").distinct()
+    half = F.when(F.col("s") == 0, F.expr("fp & 4294967295")).otherwise(F.expr("shiftrightunsigned(fp, 32)"))
+    halves = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("s")).select("fp", "s", half.alias("half"))
+    crowded = cut(halves.groupBy("s", "half").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("s", "half"), "crowded")
+    flips = F.concat(F.array("half"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda t: F.col("half").bitwiseXOR(F.pow(F.lit(2.0), t).cast("long"))))
+    beside = crowded.select("s", F.explode(flips).alias("half")).distinct()
+    sparse = halves.join(crowded, ["s", "half"], "left_anti")
+    keyed = sparse.select("fp", "s", "half", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("t"))
+    keyed = keyed.select("fp", F.expr("(half & ~shiftleft(1L, t)) + shiftleft(cast(s * 32 + t as bigint), 32)").alias("key"))
+    buckets = keyed.repartition(parts, "key").groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
+    buckets = cut(buckets.select("m"), "buckets")
+    few = buckets.where(F.size("m") <= PAIRWISE).distinct()
+    pairs = few.select(F.explode("m").alias("lo"), "m").select("lo", F.explode("m").alias("hi")).where("lo < hi").where(near)
+    many = buckets.where(F.size("m") > PAIRWISE).select(F.explode("m").alias("fp")).union(halves.join(beside, ["s", "half"], "left_semi").select("fp")).distinct()
     two = many.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
     two = two.select("fp", F.expr("fp & ~shiftleft(1L, i) & ~shiftleft(1L, j)").alias("rest"), F.expr("i * 64 + j").alias("mask"))
     shared = two.groupBy("mask", "rest").agg(F.min("fp").alias("lo"), F.max("fp").alias("top"), F.collect_set("fp").alias("all")).where("lo < top")
     stars = shared.select("lo", F.explode("all").alias("hi")).where("lo < hi").where(near)
-    return twos.union(pairs).union(stars).distinct()
+    return pairs.union(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
