@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, ship
+from .common import cut, ship
 from .tokens import tokenizer, with_end
 
 CAPACITY = 4096
-#: A round is worth its exchange if it starts from a total further above the lower bound than this share.
-GOOD_ENOUGH = 0.0
-MAX_ROUNDS = 6
+#: Rounds of exchange at most, and pieces that one task packs at once, about.
+MAX_ROUNDS, PIECES_A_TASK = 6, 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -99,10 +98,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Each partition packs its pieces best-fit decreasing and holds its number of bins against the lower bound of its
     lengths. Where they are equal the partition is certified and gives up only its emptiest bin; any other gives
-    up all bins with gaps. What was given up meets in fewer partitions, a quarter each round, and is packed again,
-    until it stands in one partition or the total is the lower bound of all lengths. The pieces of a partition are a few
-    numbers each, and their order before packing follows from the rows alone, so a lost task gives the same again.
-    Pieces must have 1 to `capacity` ids. An empty table gives no rows.
+    up all bins with gaps. What was given up is dealt out anew, in tasks of about PIECES_A_TASK pieces, and packed again, until
+    the total is the lower bound of all lengths, one task has packed all that is left, or a round has saved nothing. The
+    pieces of a task are a few numbers each, and their order before packing follows from the rows alone, so a lost task
+    gives the same again. Pieces must have 1 to `capacity` ids. An empty table gives no rows.
     """
     spark = items.sparkSession
     ship(spark)
@@ -136,21 +135,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[r["length"]] = r["count"]
     least = lower_bound(counts, capacity)
     done, rest = None, items
-    parts = None
+    settled, before, parts = 0, 0, 0
     for k in range(MAX_ROUNDS):
-        if parts is not None:
-            rest = rest.repartition(parts, F.xxhash64("sequence_id"))
+        if parts:
+            rest = rest.repartition(parts, F.xxhash64("sequence_id", F.lit(k)))
         state = cut(rest.select(*names).mapInArrow(packer(k), out_schema), "packed")
-        open_rows = state.where("NOT settled")
-        bins = state.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(~F.col("settled"), F.col("sequence_id")))).first()
-        settled = (done.select("sequence_id").distinct().count() if done is not None else 0) + bins[0] - bins[1]
-        if settled + bins[1] <= least + GOOD_ENOUGH * least or not bins[1] or parts == 1 or k == MAX_ROUNDS - 1:
-            done = state if done is None else done.union(state)
+        free = ~F.col("settled")
+        bins, loose, pieces_left = state.groupBy("sequence_id", "settled").agg(F.count("*").alias("n")).agg(F.count("*"), F.count_if(free), F.coalesce(F.sum(F.when(free, F.col("n"))), F.lit(0))).first()
+        stop = not loose or settled + bins <= least or parts == 1 or k == MAX_ROUNDS - 1 or (k > 0 and bins >= before)
+        kept = state if stop else state.where("settled")
+        done = kept if done is None else done.union(kept)
+        if stop:
             break
-        done = state.where("settled") if done is None else done.union(state.where("settled"))
-        rest = open_rows
-        parts = max(1, -(-(parts or max(1, state.rdd.getNumPartitions())) // 4))
+        settled, before, rest = settled + bins - loose, loose, state.where(free)
+        parts = -(-pieces_left // PIECES_A_TASK)
     return done.select(*names, "sequence_id", "offset")
 
 
-__all__ = ["best_fit", "discard", "lower_bound", "pack", "pieces"]
+__all__ = ["best_fit", "lower_bound", "pack", "pieces"]
