@@ -15,7 +15,7 @@ from .text import U64, lower, pieces
 #: n-grams of 1 to 3 bytes of lower-cased letters, words parted by one mark, hashed to so many buckets.
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: At most so many labelled rows of each language are learned from: those with the least hash of doc_id.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_000
 #: Scores below it are rejected by keep_identified().
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
