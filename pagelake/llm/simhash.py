@@ -74,7 +74,8 @@ def hamming_links(fps: DataFrame, name: str = "fp") -> DataFrame:
     buckets = keyed.repartition(parts, "key").groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
     buckets = cut(buckets.select("m"), "buckets")
     few = buckets.where(F.size("m") <= PAIRWISE).distinct()
-    pairs = few.select(F.explode("m").alias("lo"), "m").select("lo", F.explode("m").alias("hi")).where("lo < hi").where(near)
+    linked = f"flatten(transform(m, x -> transform(filter(m, y -> x < y AND bit_count(x ^ y) <= {MAX_DISTANCE}), y -> named_struct('lo', x, 'hi', y))))"
+    pairs = few.select(F.explode(F.expr(linked)).alias("p")).select("p.lo", "p.hi")
     many = buckets.where(F.size("m") > PAIRWISE).select(F.explode("m").alias("fp")).union(halves.join(beside, ["s", "half"], "left_semi").select("fp")).distinct()
     two = many.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
     two = two.select("fp", F.expr("fp & ~shiftleft(1L, i) & ~shiftleft(1L, j)").alias("rest"), F.expr("i * 64 + j").alias("mask"))
