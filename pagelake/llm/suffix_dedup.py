@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .text import SPACE, U64, hash_spans, ngram_hashes, pieces, row_bounds, words
+from .text import U64, hash_spans, mix, ngram_hashes, pieces, row_bounds, words
 
 #: A passage of so many words or more counts as repeated.
 MIN_WORDS = 50
 #: Words of the runs whose hashes choose positions, and consecutive runs among which one is chosen.
-GRAM, WINDOW = 5, 16
+GRAM, WINDOW = 5, 24
 #: A chosen position in each repeated passage has so many words of the passage from it on.
 RIGHT = MIN_WORDS - WINDOW + 1
 #: Words before a position and beyond its first RIGHT that are kept for extending a match.
@@ -33,17 +33,11 @@ def anchors(word_hashes: np.ndarray) -> np.ndarray:
     return np.unique(sliding_window_view(grams, WINDOW).argmin(1) + np.arange(len(grams) - WINDOW + 1))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for lo, hi, data, offsets in pieces(batch.column("text")):
-        s, e, rows = words(data, offsets)
-        h = hash_spans(data, s, e)
-        bounds = row_bounds(rows, hi - lo)
-        for r in range(hi - lo):
-            yield lo + r, h[bounds[r] : bounds[r + 1]]
-
-
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, pos) of every retained suffix: key is the hash of its first RIGHT words; shorter suffixes can't begin a repeat."""
+    """(key, whole, doc_id, pos, before, after) of every retained suffix.
+
+    key is the hash of its first RIGHT words; shorter suffixes can't begin a repeat. before and after are the words there are
+    before it and after those, REACH at most, and whole is the hash of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,11 +50,18 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 pos = np.concatenate(at).astype(np.int64)
                 fits = pos + RIGHT <= bounds[row + 1]
                 row, pos = row[fits], pos[fits]
-                if len(pos):
-                    key = hash_spans(h, pos, pos + RIGHT)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(row + lo)), pa.array((pos - bounds[row]).astype(np.int32))], ["key", "doc_id", "pos"])
+                if not len(pos):
+                    continue
+                before = np.minimum(REACH, pos - bounds[row])
+                after = np.minimum(REACH, bounds[row + 1] - pos - RIGHT)
+                key = hash_spans(h, pos, pos + RIGHT)
+                whole = mix(hash_spans(h, pos - before, pos + RIGHT + after) + (before * (REACH + 1) + after).astype(U64))
+                columns = [key.view(np.int64), whole.view(np.int64), (pos - bounds[row]).astype(np.int32), before.astype(np.int8), after.astype(np.int8)]
+                columns = list(map(pa.array, columns))
+                columns.insert(2, batch.column("doc_id").take(pa.array(row + lo)))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "whole", "doc_id", "pos", "before", "after"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, pos int")
+    return docs.mapInArrow(run, "key long, whole long, doc_id long, pos int, before byte, after byte")
 
 
 def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -68,19 +69,24 @@ def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, h in _texts(batch):
-                pos = np.sort(np.array(batch.column("at")[r].as_py(), np.int64))
-                pos = pos[pos + RIGHT <= len(h)]
-                if not len(pos):
-                    continue
-                code = (h >> U64(32)).astype(">u4")
-                padded = np.concatenate([np.zeros(REACH, ">u4"), code, np.zeros(REACH, ">u4")])
-                view = sliding_window_view(padded, REACH)
-                near = np.ascontiguousarray(view[pos][:, ::-1])
-                far = np.ascontiguousarray(view[pos + REACH + RIGHT])
-                n = len(pos)
-                raw = lambda x: pa.array([bytes(y) for y in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(hash_spans(h, pos, pos + RIGHT).view(np.int64)), raw(near), raw(far), batch.column("doc_id").slice(r, 1).take(pa.array([0] * n)), pa.array(pos.astype(np.int32))], ["key", "near", "far", "doc_id", "pos"])
+            for lo, hi, data, offsets in pieces(batch.column("text")):
+                s, e, rows = words(data, offsets)
+                every = hash_spans(data, s, e)
+                bounds = row_bounds(rows, hi - lo)
+                for r in range(hi - lo):
+                    h = every[bounds[r] : bounds[r + 1]]
+                    pos = np.sort(np.array(batch.column("at")[lo + r].as_py(), np.int64))
+                    pos = pos[pos + RIGHT <= len(h)]
+                    if not len(pos):
+                        continue
+                    code = (h >> U64(32)).astype(">u4")
+                    padded = np.concatenate([np.zeros(REACH, ">u4"), code, np.zeros(REACH, ">u4")])
+                    view = sliding_window_view(padded, REACH)
+                    near = np.ascontiguousarray(view[pos][:, ::-1])
+                    far = np.ascontiguousarray(view[pos + REACH + RIGHT])
+                    raw = lambda x: pa.array([y.tobytes() for y in x], pa.binary())
+                    doc = batch.column("doc_id").slice(lo + r, 1).take(pa.array([0] * len(pos)))
+                    yield pa.RecordBatch.from_arrays([pa.array(hash_spans(h, pos, pos + RIGHT).view(np.int64)), raw(near), raw(far), doc, pa.array(pos.astype(np.int32))], ["key", "near", "far", "doc_id", "pos"])
 
     return docs.join(marked, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "key long, near binary, far binary, doc_id long, pos int")
 
@@ -156,30 +162,37 @@ def _across(edges: list, spark) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Repeated passages: doc_id, first_word, n_words, start_byte, n_bytes, copy_of (doc_id of an earlier copy), copy_first_word.
+    """Repeated passages: doc_id, first_word, n_words, copy_of (doc_id of an earlier copy), copy_first_word.
 
     Words are runs of anything but ASCII white space. A passage of MIN_WORDS words or more that stands earlier too, in
     a document of smaller doc_id or further up in the same one, is reported where it stands later; passages of one document that touch
     are joined, and then copy_of is the earlier document of the first of them. So removing what is reported leaves
     each passage once. Suffixes are retained at minimiser positions, and those whose first RIGHT words occur once are
-    dropped after a count. The rest is sorted over the cluster by those words, then the words before and after; each suffix
-    is compared with its neighbour, across partitions too, and with the earliest suffix of equal first words, and
+    dropped after a count. Suffixes that agree in all words within REACH are one class: all but the first of it are reported at
+    once. The first suffixes of classes are sorted over the cluster, by their first words, then the words before and after;
+    each is compared with its neighbour, across partitions too, and with the earliest suffix of equal first words, and
     matches are extended left and right. A passage that very many documents share is a run of rows dealt out over
     partitions, not a group in one task. Rows without doc_id or text take no part. Documents of equal doc_id count as
-    copies of each other only by the place in the text, so doc_ids should be unique.
+    copies of each other only by the place in the text, so doc_ids should be unique. The first pass over the texts runs twice,
+    as keeping its rows costs more disk than the count needs.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    kept = cut(suffixes(docs), "suffixes")
-    heads = cut(kept.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("h")).where("n > 1").select("key", "h.doc_id", "h.pos"), "heads")
-    marked = kept.join(heads.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    often = cut(suffixes(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
+    kept = cut(suffixes(docs).join(often, "key", "left_semi"), "suffixes")
+    classes = cut(kept.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("f")).select("key", "whole", "n", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos")), "classes")
+    firsts = classes.where("n > 1").select("key", "whole", F.col("doc_id").alias("doc2"), F.col("pos").alias("pos2"))
+    equal = kept.where(F.col("before") + RIGHT + F.col("after") >= MIN_WORDS).join(firsts, ["key", "whole"]).where("doc_id != doc2 OR pos != pos2")
+    equal = equal.select("doc_id", (F.col("pos") - F.col("before")).cast("long").alias("from"), (F.col("pos") + RIGHT + F.col("after")).cast("long").alias("upto"), F.col("doc2").alias("other_doc"), (F.col("pos2") - F.col("before")).cast("long").alias("other_from"))
+    heads = cut(classes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("h")).where("n > 1").select("key", "h.doc_id", "h.pos"), "heads")
+    marked = classes.join(heads.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     rows = cut(_contexts(docs, marked), "contexts")
     order = ["key", "near", "far", "doc_id", "pos"]
     compared = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, f"{_SPANS}, edge long, row binary"), "compared")
     edges = compared.where("edge IS NOT NULL").select("edge", "row").collect()  # two rows for each partition
     spans = compared.where("edge IS NULL").select("doc_id", "from", "upto", "other_doc", "other_from").union(_across(edges, spark))
-    first = rows.join(heads.select("key", "doc_id", "pos"), ["key", "doc_id", "pos"]).dropDuplicates(["key"])
+    first = rows.join(heads, ["key", "doc_id", "pos"], "left_semi").dropDuplicates(["key"])
     first = first.select("key", F.col("doc_id").alias("doc2"), F.col("pos").alias("pos2"), F.col("near").alias("near2"), F.col("far").alias("far2"))
 
     def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,35 +203,23 @@ def repeats(docs: DataFrame) -> DataFrame:
                 ctx = [np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(n, REACH) for c in ("near", "far", "near2", "far2")]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, _spans(doc, pos, *ctx[:2], doc2, pos2, *ctx[2:]))], ["doc_id", "from", "upto", "other_doc", "other_from"])
 
-    spans = spans.union(rows.join(first, "key").mapInArrow(against_first, _SPANS)).distinct()
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from", "upto", "other_doc", "other_from"))).alias("spans"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lo, hi, data, offsets in pieces(batch.column("text")):
-                s, e, wrows = words(data, offsets)
-                bounds = row_bounds(wrows, hi - lo)
-                for r in range(hi - lo):
-                    joined: list[list[int]] = []
-                    for x in batch.column("spans")[lo + r].as_py():
-                        if joined and x["from"] <= joined[-1][1]:
-                            joined[-1][1] = max(joined[-1][1], x["upto"])
-                        else:
-                            joined.append([x["from"], x["upto"], x["other_doc"], x["other_from"]])
-                    for a, z, d2, p2 in joined:
-                        begin, end = int(s[bounds[r] + a]), int(e[bounds[r] + z - 1])
-                        out.append((batch.column("doc_id")[lo + r].as_py(), a, z - a, begin - int(offsets[r]), end - begin, d2, p2))
-            if out:
-                names = ["doc_id", "first_word", "n_words", "start_byte", "n_bytes", "copy_of", "copy_first_word"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
-
-    return docs.join(by_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(place, "doc_id long, first_word long, n_words long, start_byte long, n_bytes long, copy_of long, copy_first_word long")
+    spans = spans.union(rows.join(first, "key").mapInArrow(against_first, _SPANS)).union(equal)
+    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "upto", "other_doc", "other_from"))).alias("spans"))
+    joined = F.aggregate(
+        "spans",
+        F.array().cast("array<struct<from:long,upto:long,other_doc:long,other_from:long>>"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (x["from"] <= F.element_at(acc, -1)["upto"]),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.element_at(acc, -1).withField("upto", F.greatest(F.element_at(acc, -1)["upto"], x["upto"])))),
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
+    one = by_doc.select("doc_id", F.explode(joined).alias("s"))
+    return one.select("doc_id", F.col("s.from").alias("first_word"), (F.col("s.upto") - F.col("s.from")).alias("n_words"), F.col("s.other_doc").alias("copy_of"), F.col("s.other_from").alias("copy_first_word"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs without the reported passages; n_chars follows the text. A document of which no word is left goes."""
-    spans = cut(repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_byte", "n_bytes"))).alias("_cut")), "cuts")
+    spans = cut(repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cut")), "cuts")
     joined = docs.join(spans, "doc_id", "left")
     whole = joined.where("_cut IS NULL").select(*docs.columns)
     names = docs.columns
@@ -227,18 +228,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, keep = [], []
-            for x, cuts in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                raw, parts, upto = x.encode(), [], 0
-                for c in cuts:
-                    parts.append(raw[upto : c["start_byte"]])
-                    upto = c["start_byte"] + c["n_bytes"]
-                left = b"".join([*parts, raw[upto:]])
-                keep.append(bool(left.split()))
-                out.append(left.decode())
+            cuts = b.column(len(names)).to_pylist()
+            for lo, hi, data, offsets in pieces(b.column(at)):
+                s, e, rows = words(data, offsets)
+                bounds = row_bounds(rows, hi - lo)
+                for r in range(hi - lo):
+                    raw = data[offsets[r] : offsets[r + 1]].tobytes()
+                    parts, upto = [], 0
+                    for c in cuts[lo + r]:
+                        first = bounds[r] + c["first_word"]
+                        parts.append(raw[upto : s[first] - offsets[r]])
+                        upto = int(e[first + c["n_words"] - 1] - offsets[r])
+                    left = b"".join([*parts, raw[upto:]])
+                    keep.append(bool(left.split()))
+                    out.append(left.decode())
             columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(out, columns[at].type)
             if chars is not None:
                 columns[chars] = pa.array([len(x) for x in out]).cast(columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
     return whole.union(joined.where("_cut IS NOT NULL").select(*docs.columns, "_cut").mapInArrow(run, docs.schema))
