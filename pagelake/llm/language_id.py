@@ -82,8 +82,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
     return langs, np.ascontiguousarray(np.log(p).T.astype(np.float32))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs and lang_pred, score: the language with the highest posterior, and that posterior.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs and two columns, named names_out: the language with the highest posterior, and that posterior.
 
     Every n-gram of the whole text counts; the posterior takes equal priors. A text that is null or has no letter (or any
     text where no language was learned) gives `und` and 0. The matrix goes to the executors once: BUCKETS numbers for
@@ -111,9 +111,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     has = bool(langs) and _has_letter(own)
                     pred.append(langs[best[r]] if has else UNKNOWN)
                     score.append(float(p[r, best[r]]) if has else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, *names_out])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{names_out[0]}` string", f"`{names_out[1]}` double"])
     return docs.mapInArrow(run, fields)
 
 
@@ -132,4 +132,5 @@ def learned_rows(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without those in no known language: texts without letters, and scores under `least`."""
     model = train(learned_rows(docs))
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    own = ("_lang_pred", "_lang_score")
+    return predict(docs, model, own).where((F.col(own[0]) != UNKNOWN) & (F.col(own[1]) >= least)).select(*docs.columns)
