@@ -13,27 +13,37 @@ from .common import ship
 from .text import ALNUM, U64, hash_spans, lower, pieces, words
 
 #: Words are hashed to so many features; at most so many labelled rows are learned from, those with the least hash of doc_id.
-FEATURES, SAMPLE_ROWS = 1 << 17, 12_000
-#: A word counts if so many of those rows hold it; strength of the penalty on weights; steps of the descent.
-LEAST_ROWS, PENALTY, STEPS = 5, 1e-4, 300
+FEATURES, SAMPLE_ROWS = 1 << 20, 12_000
+#: Words enter the model in rounds, those whose score statistic on what is unexplained reaches LEAST_Z and half of the round's
+#: highest; strength of the penalty on weights; steps of the descent in a round.
+ROUNDS, LEAST_Z, PENALTY, STEPS = 12, 6.0, 1e-5, 300
 #: Probability of any grade above 0 from which a document is flagged.
 FLAG = 0.5
 
 
+#: Bytes of the word beginnings that are features beside whole words: stems carry many endings.
+BEGINNINGS = (4, 5, 6, 7, 8)
+
+
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, features, row of each): the distinct words of each text, letters and digits in lower case."""
+    """(first row, last row + 1, features, row of each): the distinct words of each text, letters and digits in lower case, and their beginnings."""
     for lo, hi, data, offsets in pieces(column):
         data = lower(data)
         s, e, rows = words(data, offsets, ALNUM)
-        f = (hash_spans(data, s, e) >> U64(47)).astype(np.int64)
-        both = np.unique(rows * FEATURES + f)
+        keys = [rows * FEATURES + (hash_spans(data, s, e) >> U64(44)).astype(np.int64)]
+        for n in BEGINNINGS:
+            long = np.flatnonzero(e - s > n)
+            h = hash_spans(data, s[long], s[long] + n) ^ U64(0x5851F42D4C957F2D)
+            keys.append(rows[long] * FEATURES + (h >> U64(44)).astype(np.int64))
+        both = np.unique(np.concatenate(keys))
         yield lo, hi, both % FEATURES, both // FEATURES
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): 0 not toxic, 1 toxic, 2 toxic and of low quality; of several labels the highest. Null toxic: no grade."""
-    g = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)
-    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(g).alias("grade"))
+    """(doc_id, grade) from labels whose toxic is a grade: 0 is clean, more is worse; of several labels the highest. Null or negative: no grade.
+
+    The other label, quality, says nothing about how toxic a text is and isn't used."""
+    return labels.where("doc_id IS NOT NULL AND toxic >= 0").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("grade"))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -41,45 +51,70 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of P(grade > k) = sigmoid(w.x - t[k]), by Adam on the mean log-likelihood, all rows each step.
+    """(weights, thresholds) of P(grade > k) = sigmoid(w.x - t[k]).
 
-    Thresholds ascend as t[0] and exponentials of steps, so the probabilities of higher grades never exceed those of lower.
-    Rows of a grade weigh by the inverse root of its share."""
+    Words that only come with toxic documents by being in copies of one are many, and words that make them toxic are few.
+    So words are let in stagewise: of those that tell most about the grades that the model so far leaves open."""
     n = len(y)
-    w, t = np.zeros(FEATURES), np.zeros(levels - 1)
-    seen = np.bincount(feats, minlength=FEATURES)
-    ok = seen[feats] >= LEAST_ROWS
-    rows, feats = rows[ok], feats[ok]
-    used, local = np.unique(feats, return_inverse=True)
-    beta, gap = np.zeros(len(used)), np.concatenate([[2.0], np.zeros(max(0, levels - 2))])
-    share = np.bincount(y, minlength=levels) / n
-    weight = 1 / np.sqrt(np.maximum(share, 1e-9))[y]
-    weight /= weight.sum()
-    params = np.concatenate([beta, gap])
-    m, v = np.zeros_like(params), np.zeros_like(params)
+    inside = np.zeros(FEATURES, bool)
+    w, t = np.zeros(FEATURES), _logit(_shares(y, levels))
+    for _ in range(ROUNDS):
+        eta = np.bincount(rows, w[feats], n)
+        p = _sigmoid(eta - t[0]) if inside.any() else np.full(n, (y > 0).mean())
+        told = np.bincount(feats, ((y > 0) - p)[rows], FEATURES)
+        spread = np.bincount(feats, np.maximum(p * (1 - p), 0.01)[rows], FEATURES)
+        z = np.where(inside, 0.0, np.abs(told) / np.sqrt(np.maximum(spread, 1e-9)))
+        new = z >= max(LEAST_Z, z.max() / 2)
+        if not new.any():
+            break
+        inside |= new
+        mine = inside[feats]
+        used, local = np.unique(feats[mine], return_inverse=True)
+        beta, t = _descend(rows[mine], local, y, levels, w[used])
+        w = np.zeros(FEATURES)
+        w[used] = beta
+    return w, t
+
+
+def _shares(y: np.ndarray, levels: int) -> np.ndarray:
+    """Share of rows above each grade."""
+    return np.clip([(y > k).mean() for k in range(levels - 1)], 1e-6, 1 - 1e-6)
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    return -np.log(p / (1 - p))
+
+
+def _descend(rows: np.ndarray, local: np.ndarray, y: np.ndarray, levels: int, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the words let in, and thresholds, by Adam on the penalised mean log-likelihood, all rows each step.
+
+    Thresholds are the first and exponentials of steps, so they ascend: a higher grade is never likelier to be passed."""
+    n, m = len(y), len(beta)
+    first = _logit(_shares(y, levels))
+    params = np.concatenate([beta, first[:1], np.log(np.maximum(np.diff(first), 0.1))])
+    mean, square = np.zeros_like(params), np.zeros_like(params)
+    every = np.arange(n)
     for step in range(1, STEPS + 1):
-        beta, gap = params[: len(used)], params[len(used) :]
+        beta, gap = params[:m], params[m:]
         t = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
         eta = np.bincount(rows, beta[local], n)
         above = np.concatenate([np.ones((n, 1)), _sigmoid(eta[:, None] - t[None]), np.zeros((n, 1))], 1)
-        p = np.maximum(above[np.arange(n), y] - above[np.arange(n), y + 1], 1e-12)
+        p = np.maximum(above[every, y] - above[every, y + 1], 1e-12)
         slope = above * (1 - above)
-        d_eta = -weight * (slope[np.arange(n), y] - slope[np.arange(n), y + 1]) / p
-        d_t = np.zeros(levels - 1)
-        np.add.at(d_t, np.maximum(y - 1, 0), np.where(y > 0, weight * slope[np.arange(n), y] / p, 0))
-        np.add.at(d_t, np.minimum(y, levels - 2), np.where(y < levels - 1, -weight * slope[np.arange(n), y + 1] / p, 0))
+        d_eta = -(slope[every, y] - slope[every, y + 1]) / p / n
+        d_t = np.bincount(np.maximum(y - 1, 0), np.where(y > 0, slope[every, y] / p / n, 0.0), levels - 1)
+        d_t = d_t + np.bincount(np.minimum(y, levels - 2), np.where(y < levels - 1, -slope[every, y + 1] / p / n, 0.0), levels - 1)
         d_gap = np.array([d_t[k:].sum() * (1 if k == 0 else np.exp(gap[k])) for k in range(levels - 1)])
-        grad = np.concatenate([np.bincount(local, d_eta[rows], len(used)) + PENALTY * beta, d_gap])
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad * grad
-        params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    w[used] = params[: len(used)]
-    gap = params[len(used) :]
-    return w, np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
+        grad = np.concatenate([np.bincount(local, d_eta[rows], m) + PENALTY * beta, d_gap])
+        mean = 0.9 * mean + 0.1 * grad
+        square = 0.98 * square + 0.02 * grad * grad
+        params = params - 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.98**step)) + 1e-8)
+    gap = params[m:]
+    return params[:m], np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
 
 
 def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The model, from a bounded sample of the labelled rows. With fewer than two grades it finds nothing toxic."""
+    """The model, from a bounded sample of the labelled rows. Grades count by their order; without two of them, 0 among them, it finds nothing toxic."""
     ship(docs.sparkSession)
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.where("doc_id IS NOT NULL").join(chosen, "doc_id").select("doc_id", "text", F.col("grade").cast("long").alias("grade"))
@@ -92,12 +127,12 @@ def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("grade").slice(lo, hi - lo), pa.array([f[a:z].astype("<i4").tobytes() for a, z in zip(upto[:-1], upto[1:], strict=True)], pa.binary())], ["doc_id", "grade", "f"])
 
     got = sorted(rows.mapInArrow(run, "doc_id long, grade long, f binary").collect(), key=lambda r: (r["doc_id"], r["f"]))  # at most sample_rows
-    y = np.array([r["grade"] for r in got], np.int64)
-    if len(np.unique(y)) < 2:
+    seen, y = np.unique([r["grade"] for r in got], return_inverse=True)
+    if len(seen) < 2 or seen[0] > 0:
         return np.zeros(FEATURES, np.float32), np.array([30.0])
     parts = [np.frombuffer(r["f"], "<i4") for r in got]
     r = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    w, t = fit(r, np.concatenate(parts).astype(np.int64), y, int(y.max()) + 1)
+    w, t = fit(r, np.concatenate(parts).astype(np.int64), y, len(seen))
     return w.astype(np.float32), t
 
 
