@@ -54,16 +54,18 @@ def fit(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, levels: int) -> tupl
     """(weights, thresholds) of P(grade > k) = sigmoid(w.x - t[k]).
 
     Words that only come with toxic documents by being in copies of one are many, and words that make them toxic are few.
-    So words are let in stagewise: of those that tell most about the grades that the model so far leaves open."""
+    So words are let in stagewise: of those that speak most for the grades that the model so far leaves open. Words that speak for
+    clean texts stay out, so a text that has none of them isn't toxic for that."""
     n = len(y)
     inside = np.zeros(FEATURES, bool)
     w, t = np.zeros(FEATURES), _logit(_shares(y, levels))
     for _ in range(ROUNDS):
         eta = np.bincount(rows, w[feats], n)
-        p = _sigmoid(eta - t[0]) if inside.any() else np.full(n, (y > 0).mean())
-        told = np.bincount(feats, ((y > 0) - p)[rows], FEATURES)
-        spread = np.bincount(feats, np.maximum(p * (1 - p), 0.01)[rows], FEATURES)
-        z = np.where(inside, 0.0, np.abs(told) / np.sqrt(np.maximum(spread, 1e-9)))
+        p = _sigmoid(eta[:, None] - t[None])
+        open_part = ((y[:, None] > np.arange(levels - 1)) - p).sum(1)
+        told = np.bincount(feats, open_part[rows], FEATURES)
+        spread = np.bincount(feats, np.maximum((p * (1 - p)).sum(1), 0.01)[rows], FEATURES)
+        z = np.where(inside, 0.0, told / np.sqrt(np.maximum(spread, 1e-9)))
         new = z >= max(LEAST_Z, z.max() / 2)
         if not new.any():
             break
