@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .text import U64, hash_spans, mix, ngram_hashes, pieces, row_bounds, words
+from .text import BYTE_BASE, U64, WORD_BASE, hash_spans, mix, ngram_hashes, pieces, row_bounds, words
 
 #: A passage of so many words or more counts as repeated.
 MIN_WORDS = 50
@@ -110,55 +110,107 @@ def _spans(doc, pos, near, far, doc2, pos2, near2, far2) -> list[np.ndarray]:
     return [x[ok] for x in (d, p - left, p + RIGHT + right, d2, p2 - left)]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition in suffix order: each is compared with the one before it. The first and last row go on as they are, for the partitions beside."""
-    from pyspark import TaskContext
+#: Suffixes compared in memory at a time, and of one key the most that are; more are compared over the cluster.
+AT_ONCE, LONGEST_RUN = 8192, 1 << 16
+_OUT = f"{_SPANS}, window long, doc long, start long"
+
+
+def _pairs(key, doc, pos, near, far) -> list[np.ndarray]:
+    """Spans of neighbours in suffix order that have equal first words and are the only two: each is extended left and right."""
+    same = np.flatnonzero(key[1:] == key[:-1])
+    return _spans(doc[same + 1], pos[same + 1], near[same + 1], far[same + 1], doc[same], pos[same], near[same], far[same])
+
+
+def _window_keys(key, near, far) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether they hold) by suffix and offset o: of the MIN_WORDS words that begin o words before the suffix."""
+    n, more = len(key), MIN_WORDS - RIGHT
+    left, right = np.zeros((n, more + 1), U64), np.zeros((n, more + 1), U64)
+    has_left, has_right = np.ones((n, more + 1), bool), np.ones((n, more + 1), bool)
+    for i in range(more):
+        left[:, i + 1] = left[:, i] * U64(WORD_BASE) + near[:, i].astype(U64) + U64(1)
+        right[:, i + 1] = right[:, i] * U64(BYTE_BASE) + far[:, i].astype(U64) + U64(1)
+        has_left[:, i + 1] = has_left[:, i] & (near[:, i] != 0)
+        has_right[:, i + 1] = has_right[:, i] & (far[:, i] != 0)
+    o = np.arange(more + 1)
+    h = mix(key.view(U64)[:, None] + mix(left + o.astype(U64)) + mix(right[:, ::-1] ^ U64(0x5DEECE66D)))
+    return h, has_left & has_right[:, ::-1]
+
+
+def _classes(key, doc, pos, near, far) -> list[np.ndarray]:
+    """Spans of suffixes of which three or more share their first words: there a neighbour need not share most on both sides, so all windows are compared."""
+    order = np.lexsort((pos, doc))
+    key, doc, pos, near, far = key[order], doc[order], pos[order], near[order], far[order]
+    h, ok = _window_keys(key, near, far)
+    n, width = h.shape
+    first = np.full((n, width + 1), -1)
+    for o in range(width):
+        rows = np.flatnonzero(ok[:, o])
+        by = rows[np.argsort(h[rows, o], kind="stable")]
+        equal = np.concatenate([[False], h[by[1:], o] == h[by[:-1], o]]) if len(by) else np.zeros(0, bool)
+        lead = by[np.maximum.accumulate(np.where(equal, 0, np.arange(len(by))))] if len(by) else by
+        first[by[equal], o] = lead[equal]
+    later = first >= 0
+    ends = later & ~np.concatenate([later[:, 1:], np.zeros((n, 1), bool)], 1)  # the largest offset of a run: where its span begins
+    starts = later & ~np.concatenate([np.zeros((n, 1), bool), later[:, :-1]], 1)
+    r, high = np.nonzero(ends)
+    _, low = np.nonzero(starts)
+    other = first[r, high]
+    return [doc[r], pos[r] - high, pos[r] - low + MIN_WORDS, doc[other], pos[other] - high]
 
-    part, prev, first = TaskContext.get().partitionId(), None, None
-    names = ["doc_id", "from", "upto", "other_doc", "other_from", "edge", "row"]
 
-    def edge(kind: int, x: tuple) -> pa.RecordBatch:
-        key, doc, pos, near, far = x
-        row = np.array([key, doc, pos], "<i8").tobytes() + near.astype(">u4").tobytes() + far.astype(">u4").tobytes()
-        return pa.RecordBatch.from_arrays([*([pa.array([None], pa.int64())] * 5), pa.array([2 * part + kind], pa.int64()), pa.array([row], pa.binary())], names)
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one partition in suffix order, some thousand at a time, always whole runs of equal first words.
+
+    The first and last run may go on in another partition, and one run may be very long: their windows are given out to be compared over the cluster."""
+    names = ["doc_id", "from", "upto", "other_doc", "other_from", "window", "doc", "start"]
+    held: list[np.ndarray] | None = None
+    apart: list[int] = []  # keys of the first run and of those too long; the last two are all that can still come
+
+    def spans(got: list[np.ndarray]) -> pa.RecordBatch:
+        m = len(got[0])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in got), *([pa.nulls(m, pa.int64())] * 3)], names)
+
+    def windows(key, doc, pos, near, far) -> pa.RecordBatch:
+        h, ok = _window_keys(key, near, far)
+        r, o = np.nonzero(ok)
+        return pa.RecordBatch.from_arrays([*([pa.nulls(len(r), pa.int64())] * 5), pa.array(h[r, o].view(np.int64)), pa.array(doc[r]), pa.array(pos[r] - o)], names)
+
+    def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key = rows[0]
+        loose = np.isin(key, apart)
+        if loose.any():
+            yield windows(*(x[loose] for x in rows))
+            rows = [x[~loose] for x in rows]
+        key = rows[0]
+        if len(key):
+            _, run, size = np.unique(key, return_inverse=True, return_counts=True)
+            many = size[run] > 2
+            yield spans(_pairs(*(x[~many] for x in rows)))
+            if many.any():
+                yield spans(_classes(*(x[many] for x in rows)))
 
     for b in batches:
         n = len(b)
         if not n:
             continue
-        key, doc, pos = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "pos"))
-        near, far = (np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(n, REACH) for c in ("near", "far"))
-        if prev is None:
-            first = (key[0], doc[0], pos[0], near[0], far[0])
-        else:
-            key, doc, pos = (np.append(p, x) for p, x in zip(prev[:3], (key, doc, pos), strict=True))
-            near, far = np.vstack([prev[3][None], near]), np.vstack([prev[4][None], far])
-        prev = (key[-1], doc[-1], pos[-1], near[-1], far[-1])
-        same = np.flatnonzero(key[1:] == key[:-1])
-        if len(same):
-            got = _spans(doc[same + 1], pos[same + 1], near[same + 1], far[same + 1], doc[same], pos[same], near[same], far[same])
-            m = len(got[0])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, got), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
-    if prev is not None:
-        yield edge(0, first)
-        yield edge(1, prev)
-
-
-def _row(x: bytes) -> tuple:
-    k, d, p = np.frombuffer(x, "<i8", 3)
-    c = np.frombuffer(x, ">u4", 2 * REACH, 24)
-    return k, np.array([d]), np.array([p]), c[None, :REACH], c[None, REACH:]
-
-
-def _across(edges: list, spark) -> DataFrame:
-    """Spans from the last suffix of each partition and the first of the next."""
-    out = []
-    rows = [bytes(e["row"]) for e in sorted(edges, key=lambda e: e["edge"])]
-    for a, b in zip(rows[1::2], rows[2::2], strict=False):
-        x, y = _row(a), _row(b)
-        if x[0] == y[0]:
-            out += zip(*(v.tolist() for v in _spans(*y[1:], *x[1:])), strict=True)
-    return spark.createDataFrame(out, _SPANS)
+        rows = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "pos")]
+        rows += [np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(n, REACH).astype(np.uint32) for c in ("near", "far")]
+        if held is None:
+            apart = [int(rows[0][0])]
+        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if len(held[0]) < AT_ONCE:
+            continue
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if len(held[0]) - last > LONGEST_RUN:
+            apart = [*apart[-1:], int(held[0][-1])]
+            last = len(held[0])
+        if last:
+            yield from settle([x[:last] for x in held])
+            held = [x[last:] for x in held]
+    if held is not None and len(held[0]):
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        yield from settle([x[:last] for x in held])
+        yield windows(*(x[last:] for x in held))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -170,14 +222,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     each passage once. Suffixes are retained at minimiser positions, and those whose first RIGHT words occur once are
     dropped after a count. Suffixes that agree in all words within REACH are one class: all but the first of it are reported at
     once. The first suffixes of classes are sorted over the cluster, by their first words, then the words before and after;
-    each is compared with its neighbour, across partitions too, and with the earliest suffix of equal first words, and
-    matches are extended left and right. A passage that very many documents share is a run of rows dealt out over
+    neighbours of equal first words are compared, and matches are extended left and right. Where three or more meet, all windows of
+    MIN_WORDS words around them are compared, in memory, or over the cluster if the run is long or may go on in the next
+    partition. A passage that very many documents share is a run of rows dealt out over
     partitions, not a group in one task. Rows without doc_id or text take no part. Documents of equal doc_id count as
     copies of each other only by the place in the text, so doc_ids should be unique. The first pass over the texts runs twice,
     as keeping its rows costs more disk than the count needs.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     often = cut(suffixes(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     kept = cut(suffixes(docs).join(often, "key", "left_semi"), "suffixes")
@@ -185,25 +237,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = classes.where("n > 1").select("key", "whole", F.col("doc_id").alias("doc2"), F.col("pos").alias("pos2"))
     equal = kept.where(F.col("before") + RIGHT + F.col("after") >= MIN_WORDS).join(firsts, ["key", "whole"]).where("doc_id != doc2 OR pos != pos2")
     equal = equal.select("doc_id", (F.col("pos") - F.col("before")).cast("long").alias("from"), (F.col("pos") + RIGHT + F.col("after")).cast("long").alias("upto"), F.col("doc2").alias("other_doc"), (F.col("pos2") - F.col("before")).cast("long").alias("other_from"))
-    heads = cut(classes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("h")).where("n > 1").select("key", "h.doc_id", "h.pos"), "heads")
-    marked = classes.join(heads.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    shared = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    marked = classes.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     rows = cut(_contexts(docs, marked), "contexts")
     order = ["key", "near", "far", "doc_id", "pos"]
-    compared = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, f"{_SPANS}, edge long, row binary"), "compared")
-    edges = compared.where("edge IS NOT NULL").select("edge", "row").collect()  # two rows for each partition
-    spans = compared.where("edge IS NULL").select("doc_id", "from", "upto", "other_doc", "other_from").union(_across(edges, spark))
-    first = rows.join(heads, ["key", "doc_id", "pos"], "left_semi").dropDuplicates(["key"])
-    first = first.select("key", F.col("doc_id").alias("doc2"), F.col("pos").alias("pos2"), F.col("near").alias("near2"), F.col("far").alias("far2"))
-
-    def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = len(b)
-            if n:
-                doc, pos, doc2, pos2 = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "pos", "doc2", "pos2"))
-                ctx = [np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(n, REACH) for c in ("near", "far", "near2", "far2")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, _spans(doc, pos, *ctx[:2], doc2, pos2, *ctx[2:]))], ["doc_id", "from", "upto", "other_doc", "other_from"])
-
-    spans = spans.union(rows.join(first, "key").mapInArrow(against_first, _SPANS)).union(equal)
+    compared = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _OUT), "compared")
+    spans = compared.where("window IS NULL").select("doc_id", "from", "upto", "other_doc", "other_from").union(equal)
+    loose = compared.where("window IS NOT NULL").select("window", "doc", "start")
+    leads = loose.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("f")).where("n > 1").select("window", F.col("f.doc").alias("doc2"), F.col("f.start").alias("start2"))
+    met = loose.join(leads, "window").where("doc != doc2 OR start != start2")
+    spans = spans.union(met.select(F.col("doc").alias("doc_id"), F.col("start").alias("from"), (F.col("start") + MIN_WORDS).alias("upto"), F.col("doc2").alias("other_doc"), F.col("start2").alias("other_from")))
     by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "upto", "other_doc", "other_from"))).alias("spans"))
     joined = F.aggregate(
         "spans",
