@@ -17,10 +17,11 @@ from pyspark.sql.window import Window
 from . import fixtures as X
 from .functions import css as css_functions
 from .kernels.css_media import Environment
-from .kernels.css_syntax import preprocess, raw_declarations
-from .kernels.css_values import PX, compute_custom
+from .kernels.css_selectors import Index, matches_host, parse_selectors
+from .kernels.css_syntax import parse_rules, parse_values, preprocess, raw_declarations, to_css
+from .kernels.css_values import PX, compute_custom, substitute
 from .kernels.font import Font
-from .kernels.html_tree import Options, dump, parse, parse_fragment
+from .kernels.html_tree import Options, descendants as tree_nodes, dump, parse, parse_fragment
 from .operators import cascade, fonts, media, navigate
 from .operators.select import select, select_by_kernel, specificities
 from .session import flat_map
@@ -694,6 +695,79 @@ def installed_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.font_faces(files).select("family", "subfamily", "weight", "italic", "units_per_em", "glyphs")
 
 
+# more fixed cases of the kernels
+
+
+def _cases(spark: SparkSession, rows: list[tuple], kernel: Callable[..., object], result: str, kind: str = "string") -> DataFrame:
+    """(case_id, result) of a kernel over literal cases."""
+    columns = ", ".join(f"c{i} string" for i in range(len(rows[0])))
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"case_id long, {columns}")
+    return flat_map(cases, lambda i, *args: [(i, kernel(*args))], f"case_id long, {result} {kind}")
+
+
+@query("o_t14_doctype_cases", _values(["case_id", "name", "public_id", "system_id", "quirks"], [(i, *c[1:]) for i, c in enumerate(X.DOCTYPES)], {"case_id": "BIGINT"}))
+def doctypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(i: int, html: str):
+        t = parse(html)
+        d = next(k for k in t.doc.kids if k.kind == "doctype")
+        yield i, d.name, *d.extra, t.quirks
+
+    return flat_map(spark.createDataFrame([(i, c[0]) for i, c in enumerate(X.DOCTYPES)], "case_id long, html string"), kernel, "case_id long, name string, public_id string, system_id string, quirks string")
+
+
+@query("o_t11_remark_cases", _values(["case_id", "remarks"], list(enumerate(c[1] for c in X.REMARKS)), {"case_id": "BIGINT"}))
+def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(html: str) -> str:
+        return "|".join(n.data if n.kind == "comment" else f"?{n.name} {n.data}" for n in tree_nodes(parse(html).doc) if n.kind in ("comment", "pi"))
+
+    return _cases(spark, [(c[0],) for c in X.REMARKS], kernel, "remarks")
+
+
+@query("o_c10_serialised_cases", _values(["case_id", "css"], list(enumerate(c[1] for c in X.SERIALISED)), {"case_id": "BIGINT"}))
+def serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, [(c[0],) for c in X.SERIALISED], lambda css: to_css(parse_values(preprocess(css))), "css")
+
+
+@query("o_c06_rule_cases", _values(["case_id", "rules"], list(enumerate(f"{c[1]}/{c[2]}" for c in X.RULES)), {"case_id": "BIGINT"}))
+def rule_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(css: str) -> str:
+        rules = parse_rules(preprocess(css))
+        return " ".join(r["kind"] for r in rules) + "/" + " ".join(r["name"] for r in rules if r["name"])
+
+    return _cases(spark, [(c[0],) for c in X.RULES], kernel, "rules")
+
+
+@query("o_c12_declaration_cases", _values(["case_id", "declarations"], list(enumerate(c[1] for c in X.BLOCKS)), {"case_id": "BIGINT"}))
+def block_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, [(c[0],) for c in X.BLOCKS], lambda css: "|".join(f"{n}={v}{'!' if i else ''}" for n, v, i in raw_declarations(preprocess(css))), "declarations")
+
+
+@query("o_x02_substitution_cases", _values(["case_id", "value"], [(i, c[2] or "invalid") for i, c in enumerate(X.SUBSTITUTIONS)], {"case_id": "BIGINT"}))
+def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, [c[:2] for c in X.SUBSTITUTIONS], lambda value, known: substitute(value, {n: v for n, v, _ in raw_declarations(known)}) or "invalid", "value")
+
+
+@query("o_q19_host_cases", _values(["case_id", "means_host"], list(enumerate(c[1] for c in X.HOSTS)), {"case_id": "BIGINT"}))
+def host_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(selector: str) -> bool:
+        div = next(n for n in tree_nodes(parse("<div class=a>").doc) if n.name == "div")
+        return any(matches_host(c, div, Index()) for c in parse_selectors(selector))
+
+    return _cases(spark, [(c[0],) for c in X.HOSTS], kernel, "means_host", "boolean")
+
+
+@query("o_f06_kerning_cases", "SELECT * FROM (VALUES (0::BIGINT, '400 500'), (1, '500 500'), (2, '500')) t(case_id, advances)")
+def kerned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a before b is kerned, b before a and a alone are not."""
+    return _cases(spark, [("ab",), ("ba",), ("a",)], lambda text: " ".join(map(str, _face().kerned_advances(text))), "advances")
+
+
+@query("o_n01_lookup", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = P.parse_nodes(_pages(spark, sf_dir), columns=["page_id", "is_root", "attrs"])
+    return n.where("is_root").select("page_id", F.element_at("attrs", "lang").alias("lang"))
+
+
 # relational building blocks over the other tables
 
 

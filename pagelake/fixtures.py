@@ -149,3 +149,32 @@ NEAREST = (("A", 400, False, 0), ("a", 900, False, 1), ("A", 700, True, 2), ("B"
 
 # (page, host's tree): one page with a shadow root, named and default slots
 SLOTTED = "<!doctype html><div><template shadowrootmode=open><style>:host{display:flex} b{opacity:0.5}</style><b><slot name=x>none</slot></b><slot></slot></template><i slot=x>1</i>t<u>2</u><s slot=y>3</s></div>"
+
+# (page, name, public id, system id, quirks mode)
+DOCTYPES = (
+    ("<!DOCTYPE html>", "html", "", "", "no-quirks"), ("<!doctype HTML SYSTEM 'about:legacy-compat'>", "html", "", "about:legacy-compat", "no-quirks"), ("<!doctype>", "", "", "", "quirks"),
+    ('<!doctype html public "-//W3C//DTD HTML 4.01 Transitional//EN">', "html", "-//W3C//DTD HTML 4.01 Transitional//EN", "", "quirks"),
+    ('<!doctype html public "-//W3C//DTD HTML 4.01 Transitional//EN" "x">', "html", "-//W3C//DTD HTML 4.01 Transitional//EN", "x", "limited-quirks"),
+    ('<!doctype html public "-//W3C//DTD XHTML 1.0 Frameset//EN" "x">', "html", "-//W3C//DTD XHTML 1.0 Frameset//EN", "x", "limited-quirks"), ("<!doctype html junk>", "html", "", "", "quirks"), ('<!doctype html public "a>', "html", "a", "", "quirks"), ("<!doctype xml>", "xml", "", "", "quirks"),
+)
+
+# (page, its comments and processing instructions joined by "|")
+REMARKS = (
+    ("<!-- a --><!--b--!><!-->c", " a |b|"), ("<!--->x<!---->", "|"), ("<!--a-", "a"), ("<!--a--!", "a"), ("<!x><?1 y></ z>", "x|?1 y| z"), ("<?go a b?><?go?><?XML c?>", "?go a b|?go |?XML c?"), ("<!--a<!--b-->", "a<!--b"), ("<![CDATA[x]]>", "[CDATA[x]]"),
+    ("<svg><![CDATA[<b>]]>", ""), ("<?go a", ""),
+)
+
+# (css, as its component values are written again)
+SERIALISED = (("a( 'b' ) [#c=1.0px]", 'a( "b" ) [#c=1.0px]'), ("x/**/y url( z ) 50%", 'xy url("z") 50%'), ("{a:b;c", "{a:b;c}"), ("\\31 a @m !", "\\31 a @m !"), ("+1e3x -.5", "+1e3x -.5"))
+
+# (css, kinds of its rules joined by " ", names of at-rules)
+RULES = (("a{} b{c:d}", "style style", ""), ("<!-- @import 'x'; p{} --> q{", "at style style", "import"), ("@media x { a{} } @y", "at at", "media y"), ("a;b{}", "style", ""), ("}", "", ""))
+
+# (block, "name=value" with "!" if important, joined by "|")
+BLOCKS = (("a: b; c:d!important; e; f: {;}; g : ", "a=b|c=d!|f={;}|g="), ("A:url(;);--x:  y  z ;", "A=url(;)|--x=y  z"), ("a:b ! IMPORTANT", "a=b!"), ("a:'x;y'", "a='x;y'"), (":b;c:d", "c=d"))
+
+# (value, variables, what var() makes of it, or None)
+SUBSTITUTIONS = (("var(--a) 2", "--a:1", "1 2"), ("calc(var(--b, 3px) + 1px)", "", "calc(3px + 1px)"), ("var(--c)", "", None), ("1/**/var(--a)", "--a:px", "1/**/px"), ("var(--a,)x", "", "x"), ("VAR( --a , b )", "--a:c", "c"))
+
+# (selector in a shadow tree's sheet, whether it means a host <div class=a>)
+HOSTS = ((":host", True), (":host(.a)", True), (":host(.b)", False), (":host(div.a)", True), (":host.a", False), ("div", False), (":host b", False), ("*", False))
