@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BATCH = 512
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,16 +55,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # type: ignore[attr-defined]
+    _written.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that cut() made and that nothing reads any more."""
     path = getattr(df, "scratch_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        _written.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that cut() has made, once the results that read them are written."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:

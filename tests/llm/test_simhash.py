@@ -107,3 +107,29 @@ def test_edge_cases(spark):
     assert simhash.drop_near_duplicates(clash).collect()[0].asDict() == {"doc_id": 1, "text": "x y z", "n": 0, "fp": 7, "component_id": "c"}
     long = " ".join(f"w{i}" for i in range(200_000))
     assert simhash.fingerprint(long) != 0
+
+
+def test_crowded_segments(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 20)
+    monkeypatch.setattr(simhash, "PAIRWISE", 4)
+    rng = random.Random(9)
+    half = rng.getrandbits(32)
+    values = {rng.getrandbits(64) for _ in range(40)}
+    for _ in range(120):  # one low half, or one bit beside it, and high halves near each other
+        values.add((half ^ (1 << rng.randrange(32)) * (rng.random() < 0.3)) | (0xABCD0000 ^ rng.randrange(64)) << 32)
+    values = [signed(v) for v in values]
+    true = {(min(a, b), max(a, b)) for k, a in enumerate(values) for b in values[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    got = {(r["lo"], r["hi"]) for r in simhash.hamming_links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+    assert got <= true and reachable(got, values) == reachable(true, values)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from pagelake.llm.common import clear_scratch, cut
+
+    made = cut(spark.range(3), "t")
+    path = made.scratch_path
+    assert os.path.isdir(path)
+    clear_scratch(spark)
+    assert not os.path.exists(path)
