@@ -116,10 +116,10 @@ def _descend(rows: np.ndarray, local: np.ndarray, y: np.ndarray, levels: int, be
 
 
 def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The model, from a bounded sample of the labelled rows. Grades count by their order; without two of them, 0 among them, it finds nothing toxic."""
+    """The model, from a bounded sample of the labelled rows, whose ids go to every executor. Grades count by their order; without two of them, 0 among them, it finds nothing toxic."""
     ship(docs.sparkSession)
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.where("doc_id IS NOT NULL").join(chosen, "doc_id").select("doc_id", "text", F.col("grade").cast("long").alias("grade"))
+    rows = docs.where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("long").alias("grade"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
