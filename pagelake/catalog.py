@@ -37,8 +37,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages for a kernel: spread over the cores, as one file holds many."""
-    return _table(spark, sf_dir, "pages").select("page_id", "html").repartition(spark.sparkContext.defaultParallelism)
+    """Pages for a kernel. Where they stand in fewer splits than there are cores, as in one small file, they are dealt out; else they are read as they lie."""
+    p = _table(spark, sf_dir, "pages").select("page_id", "html")
+    cores = spark.sparkContext.defaultParallelism
+    return p if p.rdd.getNumPartitions() >= cores else p.repartition(cores)
 
 
 def query(name: str, sql: str | None = None):
