@@ -1,4 +1,9 @@
-"""A corpus pipeline over the table documents: STAGES, each written as Parquet and read again for the next."""
+"""A corpus pipeline over the table documents: STAGES, each written as Parquet and read again for the next.
+
+A null or empty text has no letters, so language ID drops it; rows without doc_id pass near-dedup, suffix-array dedup and
+decontamination as they are, as no group, span or leak can be told for them. Other columns pass through, whatever their names. An
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

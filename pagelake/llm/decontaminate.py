@@ -181,6 +181,6 @@ def _group(docs: DataFrame, rows: list, threshold: float, n: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a copy of a benchmark item."""
+    """docs without those that hold a copy of a benchmark item, by doc_id; rows without doc_id stay."""
     bad = cut(contaminated(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaks")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
