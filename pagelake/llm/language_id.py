@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod4, ship
+from .common import crc32_mod4, cut, ship
 from .text import U64, lower, pieces
 
 #: n-grams of 1 to 3 bytes of lower-cased letters, words parted by one mark, hashed to so many buckets.
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: At most so many labelled rows of each language are learned from: those with the least hash of doc_id.
 SAMPLE_ROWS = 1_000
+#: Ids of learned rows that are sent to every executor at most; with more languages than that holds they are joined.
+MOST_SENT = 500_000
 #: Scores below it are rejected by keep_identified().
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
@@ -55,7 +57,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
     ship(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_h"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))  # a limit for each group: each task keeps its own first rows only
-    ids = known.withColumn("_r", best).where(F.col("_r") <= sample_rows).select("doc_id").distinct()
+    ids = cut(known.withColumn("_r", best).where(F.col("_r") <= sample_rows).select("doc_id").distinct(), "learned")
+    if ids.count() <= MOST_SENT:
+        ids = F.broadcast(ids)
     sample = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(ids, "doc_id", "left_semi").select("text", F.col("lang").cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

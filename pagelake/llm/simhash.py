@@ -106,7 +106,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id stay, as no group can be told for them; of rows that repeat a kept doc_id one stays.
     """
-    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id = c").select("doc_id", "n"), "kept")
-    kept = docs.join(found.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(found.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(repeated).union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id = c").select("doc_id", F.col("n").alias("_copies")), "kept")
+    joined = docs.join(found.hint("merge"), "doc_id")  # decisions grow with the documents: the same plan at every size
+    kept = joined.where("_copies = 1").select(*docs.columns)
+    if not found.where("_copies > 1").isEmpty():
+        kept = kept.union(joined.where("_copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return kept.union(docs.where("doc_id IS NULL"))

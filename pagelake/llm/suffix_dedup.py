@@ -88,7 +88,7 @@ def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
                     doc = batch.column("doc_id").slice(lo + r, 1).take(pa.array([0] * len(pos)))
                     yield pa.RecordBatch.from_arrays([pa.array(hash_spans(h, pos, pos + RIGHT).view(np.int64)), raw(near), raw(far), doc, pa.array(pos.astype(np.int32))], ["key", "near", "far", "doc_id", "pos"])
 
-    return docs.join(marked, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "key long, near binary, far binary, doc_id long, pos int")
+    return docs.join(marked.hint("merge"), "doc_id").select("doc_id", "text", "at").mapInArrow(run, "key long, near binary, far binary, doc_id long, pos int")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs without the reported passages; n_chars follows the text. A document of which no word is left goes."""
     spans = cut(repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cut")), "cuts")
-    joined = docs.join(spans, "doc_id", "left")
+    joined = docs.join(spans.hint("merge"), "doc_id", "left")  # spans grow with the documents: the same plan at every size
     whole = joined.where("_cut IS NULL").select(*docs.columns)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
