@@ -112,7 +112,6 @@ def _spans(doc, pos, near, far, doc2, pos2, near2, far2) -> list[np.ndarray]:
 
 #: Suffixes compared in memory at a time, and of one key the most that are; more are compared over the cluster.
 AT_ONCE, LONGEST_RUN = 8192, 1 << 16
-_OUT = f"{_SPANS}, window long, doc long, start long"
 
 
 def _pairs(key, doc, pos, near, far) -> list[np.ndarray]:
@@ -158,59 +157,49 @@ def _classes(key, doc, pos, near, far) -> list[np.ndarray]:
     return [doc[r], pos[r] - high, pos[r] - low + MIN_WORDS, doc[other], pos[other] - high]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition in suffix order, some thousand at a time, always whole runs of equal first words.
-
-    The first and last run may go on in another partition, and one run may be very long: their windows are given out to be compared over the cluster."""
-    names = ["doc_id", "from", "upto", "other_doc", "other_from", "window", "doc", "start"]
-    held: list[np.ndarray] | None = None
-    apart: list[int] = []  # keys of the first run and of those too long; the last two are all that can still come
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    rows = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "pos")]
+    return rows + [np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(len(b), REACH).astype(np.uint32) for c in ("near", "far")]
 
-    def spans(got: list[np.ndarray]) -> pa.RecordBatch:
-        m = len(got[0])
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in got), *([pa.nulls(m, pa.int64())] * 3)], names)
 
-    def windows(key, doc, pos, near, far) -> pa.RecordBatch:
-        h, ok = _window_keys(key, near, far)
-        r, o = np.nonzero(ok)
-        return pa.RecordBatch.from_arrays([*([pa.nulls(len(r), pa.int64())] * 5), pa.array(h[r, o].view(np.int64)), pa.array(doc[r]), pa.array(pos[r] - o)], names)
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans from rows in suffix order, some thousand at a time, always whole runs of equal first words: no run goes on in another partition."""
+    held: list[np.ndarray] | None = None
 
     def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key = rows[0]
-        loose = np.isin(key, apart)
-        if loose.any():
-            yield windows(*(x[loose] for x in rows))
-            rows = [x[~loose] for x in rows]
-        key = rows[0]
-        if len(key):
-            _, run, size = np.unique(key, return_inverse=True, return_counts=True)
-            many = size[run] > 2
-            yield spans(_pairs(*(x[~many] for x in rows)))
-            if many.any():
-                yield spans(_classes(*(x[many] for x in rows)))
+        _, run, size = np.unique(rows[0], return_inverse=True, return_counts=True)
+        many = size[run] > 2
+        for compare, mine in ((_pairs, ~many), (_classes, many)):
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(*(x[mine] for x in rows))], ["doc_id", "from", "upto", "other_doc", "other_from"])
 
     for b in batches:
-        n = len(b)
-        if not n:
-            continue
-        rows = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "pos")]
-        rows += [np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(n, REACH).astype(np.uint32) for c in ("near", "far")]
-        if held is None:
-            apart = [int(rows[0][0])]
-        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        if len(held[0]) < AT_ONCE:
-            continue
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        if len(held[0]) - last > LONGEST_RUN:
-            apart = [*apart[-1:], int(held[0][-1])]
-            last = len(held[0])
-        if last:
-            yield from settle([x[:last] for x in held])
-            held = [x[last:] for x in held]
-    if held is not None and len(held[0]):
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        yield from settle([x[:last] for x in held])
-        yield windows(*(x[last:] for x in held))
+        if len(b):
+            held = _columns(b) if held is None else [np.concatenate(x) for x in zip(held, _columns(b), strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last >= AT_ONCE:
+                yield from settle([x[:last] for x in held])
+                held = [x[last:] for x in held]
+    if held is not None:
+        yield from settle(held)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(window, doc, start) of all windows around suffixes."""
+    for b in batches:
+        if len(b):
+            key, doc, pos, near, far = _columns(b)
+            h, ok = _window_keys(key, near, far)
+            r, o = np.nonzero(ok)
+            yield pa.RecordBatch.from_arrays([pa.array(h[r, o].view(np.int64)), pa.array(doc[r]), pa.array(pos[r] - o)], ["window", "doc", "start"])
+
+
+def _over_the_cluster(rows: DataFrame) -> DataFrame:
+    """Spans of suffixes of which very many share their first words: equal windows meet by their keys, each with the earliest of it."""
+    loose = cut(rows.mapInArrow(_windows, "window long, doc long, start long"), "windows")
+    leads = loose.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("f")).where("n > 1").select("window", F.col("f.doc").alias("doc2"), F.col("f.start").alias("start2"))
+    met = loose.join(leads, "window").where("doc != doc2 OR start != start2")
+    return met.select(F.col("doc").alias("doc_id"), F.col("start").alias("from"), (F.col("start") + MIN_WORDS).alias("upto"), F.col("doc2").alias("other_doc"), F.col("start2").alias("other_from"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -223,9 +212,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     dropped after a count. Suffixes that agree in all words within REACH are one class: all but the first of it are reported at
     once. The first suffixes of classes are sorted over the cluster, by their first words, then the words before and after;
     neighbours of equal first words are compared, and matches are extended left and right. Where three or more meet, all windows of
-    MIN_WORDS words around them are compared, in memory, or over the cluster if the run is long or may go on in the next
-    partition. A passage that very many documents share is a run of rows dealt out over
-    partitions, not a group in one task. Rows without doc_id or text take no part. Documents of equal doc_id count as
+    MIN_WORDS words around them are compared: in memory, or over the cluster by their keys where more than LONGEST_RUN suffixes meet, so
+    that no task holds more of one passage. Rows without doc_id or text take no part. Documents of equal doc_id count as
     copies of each other only by the place in the text, so doc_ids should be unique. The first pass over the texts runs twice,
     as keeping its rows costs more disk than the count needs.
     """
@@ -237,16 +225,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = classes.where("n > 1").select("key", "whole", F.col("doc_id").alias("doc2"), F.col("pos").alias("pos2"))
     equal = kept.where(F.col("before") + RIGHT + F.col("after") >= MIN_WORDS).join(firsts, ["key", "whole"]).where("doc_id != doc2 OR pos != pos2")
     equal = equal.select("doc_id", (F.col("pos") - F.col("before")).cast("long").alias("from"), (F.col("pos") + RIGHT + F.col("after")).cast("long").alias("upto"), F.col("doc2").alias("other_doc"), (F.col("pos2") - F.col("before")).cast("long").alias("other_from"))
-    shared = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    marked = classes.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    shared = cut(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    marked = classes.join(shared.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     rows = cut(_contexts(docs, marked), "contexts")
-    order = ["key", "near", "far", "doc_id", "pos"]
-    compared = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _OUT), "compared")
-    spans = compared.where("window IS NULL").select("doc_id", "from", "upto", "other_doc", "other_from").union(equal)
-    loose = compared.where("window IS NOT NULL").select("window", "doc", "start")
-    leads = loose.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("f")).where("n > 1").select("window", F.col("f.doc").alias("doc2"), F.col("f.start").alias("start2"))
-    met = loose.join(leads, "window").where("doc != doc2 OR start != start2")
-    spans = spans.union(met.select(F.col("doc").alias("doc_id"), F.col("start").alias("from"), (F.col("start") + MIN_WORDS).alias("upto"), F.col("doc2").alias("other_doc"), F.col("start2").alias("other_from")))
+    crowded = shared.where(F.col("n") > LONGEST_RUN).select("key")
+    spans = equal
+    if not crowded.isEmpty():
+        spans = spans.union(_over_the_cluster(rows.join(crowded, "key", "left_semi").select(*rows.columns)))
+        rows = rows.join(crowded, "key", "left_anti").select(*rows.columns)
+    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "near", "far", "doc_id", "pos")
+    spans = spans.union(ordered.mapInArrow(_neighbours, _SPANS))
     by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "upto", "other_doc", "other_from"))).alias("spans"))
     joined = F.aggregate(
         "spans",
