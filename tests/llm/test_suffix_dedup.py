@@ -84,34 +84,8 @@ def test_removal_leaves_each_passage_once(spark):
 def test_long_runs_are_compared_over_the_cluster(spark, monkeypatch):
     texts = corpus()
     df = spark.createDataFrame([(d, t, len(t or "")) for d, t in texts.items()], DOCS).repartition(2)
-    monkeypatch.setattr(S, "AT_ONCE", 20)
     monkeypatch.setattr(S, "LONGEST_RUN", 3)
-    rows = [r for b in _partitions(S, df) for r in b]
-    assert dict(words_found(rows)) == {d: x for d, x in brute(texts).items() if x}
-
-
-def _partitions(module, df):
-    """The same query with the settings of this process: its kernel runs here, on what the cluster has sorted."""
-    import pyarrow as pa
-
-    kernel = module._neighbours
-
-    def patched(frame, fn, schema):
-        if fn is not kernel:
-            return original(frame, fn, schema)
-        table = frame.toArrow()
-        batches = table.sort_by([(c, "ascending") for c in ("key", "near", "far", "doc_id", "pos")]).to_batches(max_chunksize=7)
-        made = [b for b in kernel(iter(batches)) if len(b)]
-        return frame.sparkSession.createDataFrame([tuple(r.values()) for b in made for r in b.to_pylist()], schema)
-
-    from pyspark.sql.classic.dataframe import DataFrame
-
-    original = DataFrame.mapInArrow
-    DataFrame.mapInArrow = patched
-    try:
-        yield module.repeats(df).collect()
-    finally:
-        DataFrame.mapInArrow = original
+    assert dict(words_found(S.repeats(df).collect())) == {d: x for d, x in brute(texts).items() if x}
 
 
 def test_edge_cases(spark):
