@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: places that share enough words with an item, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .text import ALNUM, U64, hash_spans, lower, ngram_hashes, pieces, row_bounds, words
+from .text import ALNUM, U64, hash_spans, lower, pieces, row_bounds, words
 
-SEED_WORDS = 3
+#: Items of fewer words match nothing.
+LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Score of the best local alignment over the item's number of words, from which a document counts as a copy.
 THRESHOLD = 0.5
-#: The seeds of up to so many benchmark items are sent to every executor; more are joined.
-ITEMS_AT_ONCE = 20_000
+#: Up to so many benchmark items are sent to every executor; more are read in groups. Places of items' words looked at together.
+ITEMS_AT_ONCE, PLACES_AT_ONCE = 20_000, 4_000_000
 
 
 def _normal(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,15 +75,13 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, first, last
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each document and benchmark item of which it holds a copy: doc_id, item_id, score, first_word, n_words.
 
-    Seeds are runs of `seed_words` words. How many documents hold each is counted over all of them, and an item keeps the
-    rarer half of its seeds, as many as are needed and no cap for a common passage. A document that holds a kept seed is
-    aligned with the item around each place; score is the best local alignment over the item's length in words, 1 for
-    an exact copy. Items shorter than `seed_words` can't be told from chance and match nothing. Null and empty texts
-    have no words. Items are read in groups of ITEMS_AT_ONCE, the bound of what goes to every executor; each group
-    reads the documents once. Rows with equal doc_id report one row for each item, the best.
+    Score is the best local alignment over the item's length in words, 1 for an exact copy. Every alignment of `threshold`
+    or more is found, however the copy was edited: see candidates(). Items shorter than `least_words` can't be told from
+    chance and match nothing. Null and empty texts have no words. Items are read in groups of ITEMS_AT_ONCE, the bound of
+    what goes to every executor; each group reads the documents once. Rows with equal doc_id report one row for each item, the best.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -91,93 +90,112 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = None
     for g in range(groups):
         some = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        found = _group(docs, some.collect(), threshold, seed_words)
+        found = _group(docs, some.collect(), threshold, least_words)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "n_words")).alias("b")).select("doc_id", "item_id", "b.score", "b.first_word", "b.n_words")
 
 
-def _group(docs: DataFrame, rows: list, threshold: float, n: int) -> DataFrame:
-    spark = docs.sparkSession
-    ids = [r["item_id"] for r in rows]
+class Items:
+    """Benchmark items as numbers of their words in `table`, the ascending hashes of all words of items."""
+
+    def __init__(self, texts: list[np.ndarray], threshold: float):
+        self.texts, self.sizes = texts, np.array([len(x) for x in texts], np.int64)
+        self.table, self.word = np.unique(np.concatenate([np.zeros(0, U64), *texts]), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.least = threshold * MATCH * self.sizes
+        #: Words that an alignment over the threshold matches at least, and words of a document that it spans at most.
+        self.need = np.maximum(1, np.ceil(self.least / MATCH - 1e-9)).astype(np.int64)
+        self.span = self.sizes + np.maximum(0, np.floor((MATCH * self.sizes - self.least) / -max(MISMATCH, GAP) + 1e-9)).astype(np.int64)
+
+
+def candidates(items: Items, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(item, row, first word, last word + 1) of all places that can hold an alignment over the threshold, and of some that don't.
+
+    Such an alignment matches `need` of an item's `size` words, so of any size - need + k of them it matches k at least, within
+    `span` words. Those taken are the rarest in the rows at hand: rarity makes the search fast and no alignment is lost by it, as
+    words that stand nowhere count among the unmatched. What is left is bounded by the best run with MATCH for each
+    word that the item has and the lesser penalty for each other one; no alignment scores more."""
+    table, sizes = items.table, items.sizes
+    if not len(table) or not len(h):
+        return
+    at = np.searchsorted(table, h)
+    at[at == len(table)] = 0
+    known = table[at] == h
+    where = np.flatnonzero(known)
+    own = at[where]
+    counts = np.bincount(own, minlength=len(table))
+    order = np.lexsort((counts[items.word], items.owner))
+    k = np.maximum(1, items.need // 3)
+    rank = np.arange(len(order)) - items.start[items.owner[order]]
+    taken = order[rank < (sizes - items.need + k)[items.owner[order]]]
+    pairs = np.unique(items.owner[taken] * len(table) + items.word[taken])
+    item, word = pairs // len(table), pairs % len(table)
+    upto = np.cumsum(counts[word])
+    member = np.zeros(len(table), bool)
+    s = 0
+    while s < len(pairs):  # so many items at once that their places fit in memory
+        e = int(np.searchsorted(upto, (upto[s - 1] if s else 0) + PLACES_AT_ONCE, "right"))
+        last = item[min(max(e, s), len(item) - 1)]
+        e = len(item) if e >= len(item) else int(np.searchsorted(item, last)) if item[s] != last else int(np.searchsorted(item, last, "right"))
+        by_word = np.argsort(word[s:e], kind="stable")
+        some = item[s:e][by_word]
+        many = np.bincount(word[s:e], minlength=len(table))
+        first = np.cumsum(many) - many
+        c = many[own]
+        place = np.repeat(where, c)
+        which = some[np.arange(len(place)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[own], c)]
+        key = np.sort(which * len(h) + place)
+        which, place = key // len(h), key % len(h)
+        row = np.searchsorted(bounds, place, "right") - 1
+        end = np.minimum(np.arange(len(key)) + k[which] - 1, len(key) - 1)
+        fits = (np.arange(len(key)) + k[which] - 1 < len(key)) & (which[end] == which) & (row[end] == row) & (place[end] - place < items.span[which])
+        f = np.flatnonzero(fits)
+        which, row, low, high = which[f], row[f], place[end[f]] - items.span[which[f]] + 1, place[f] + items.span[which[f]]
+        low, high = np.maximum(low, bounds[row]), np.minimum(high, bounds[row + 1])
+        begin = np.ones(len(f), bool)
+        begin[1:] = (low[1:] > high[:-1]) | (row[1:] != row[:-1]) | (which[1:] != which[:-1])
+        firsts = np.flatnonzero(begin)
+        lasts = np.append(firsts[1:], len(f)) - 1 if len(f) else firsts
+        now = -1
+        for i, r, x, y in zip(which[firsts].tolist(), row[firsts].tolist(), low[firsts].tolist(), high[lasts].tolist(), strict=True):
+            if i != now:
+                member[:] = False
+                member[items.word[items.start[i] : items.start[i] + sizes[i]]] = True
+                now = i
+            run = np.zeros(y - x + 1)
+            np.cumsum(np.where(known[x:y] & member[at[x:y]], MATCH, max(MISMATCH, GAP)), out=run[1:])
+            if (run - np.minimum.accumulate(run)).max() >= items.least[i] - 1e-9:
+                yield i, r, x, y
+        s = e
+
+
+def _group(docs: DataFrame, rows: list, threshold: float, least_words: int) -> DataFrame:
     texts = item_words([r["text"] for r in rows])
-    seeds = [np.unique(ngram_hashes(w, n)) for w in texts]
-    table = np.unique(np.concatenate([np.zeros(0, U64), *seeds]))
-    span = max([0, *map(len, texts)])
-    shared = spark.sparkContext.broadcast((table, ids, texts))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents that hold any seed: the hashes of their words around such places."""
-        table = shared.value[0]
-        for batch in batches:
-            for lo, hi, h, bounds in _normal(batch.column(1)):
-                grams = ngram_hashes(h, n)
-                if not len(grams) or not len(table):
-                    continue
-                at = np.searchsorted(table, grams)
-                at[at == len(table)] = 0
-                where = np.flatnonzero(table[at] == grams)
-                row = np.searchsorted(bounds, where, "right") - 1
-                inside = where + n <= bounds[row + 1]
-                where, row = where[inside], row[inside]
-                if not len(where):
-                    continue
-                low, high = np.maximum(bounds[row], where - 2 * span), np.minimum(bounds[row + 1], where + 2 * span + n)
-                begin = np.ones(len(where), bool)
-                begin[1:] = (low[1:] > high[:-1]) | (row[1:] != row[:-1])
-                firsts = np.flatnonzero(begin)
-                ends = np.append(firsts[1:], len(where))
-                for f, e in zip(firsts.tolist(), ends.tolist(), strict=True):
-                    s, z = int(low[f]), int(high[e - 1])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + int(row[f]), 1), pa.array([s - int(bounds[row[f]])], pa.int64()), pa.array([h[s:z].tobytes()], pa.binary()), pa.array([np.unique(grams[where[f:e]]).view(np.int64).tolist()], pa.list_(pa.int64()))], ["doc_id", "begin", "body", "grams"])
-
-    found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, begin long, body binary, grams array<long>"), "hits")
-    counts = {r["gram"]: r["n"] for r in found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}  # at most the seeds that were sent out
-    kept: dict[int, list[int]] = {}
-    for k, grams in enumerate(seeds):
-        order = sorted(grams.view(np.int64).tolist(), key=lambda x: (counts.get(x, 0), x))
-        for x in order[: -(-len(order) // 2)]:
-            kept.setdefault(x, []).append(k)
-    chosen = spark.sparkContext.broadcast(kept)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, ids, texts = shared.value
-        kept = chosen.value
+    long = [k for k, x in enumerate(texts) if len(x) >= least_words]
+    shared = docs.sparkSession.sparkContext.broadcast(([rows[k]["item_id"] for k in long], [texts[k] for k in long]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = shared.value
+        items = Items(texts, threshold)
         for batch in batches:
-            todo = []
-            for i in range(len(batch)):
-                own = {k for x in batch.column("grams")[i].as_py() for k in kept.get(x, ())}
-                if own:
-                    body = np.frombuffer(batch.column("body")[i].as_py(), U64)
-                    grams = ngram_hashes(body, n).view(np.int64)
-                    for k in own:
-                        mine = [p for p, x in enumerate(grams.tolist()) if k in kept.get(x, ())]
-                        size, s = len(texts[k]), 0
-                        while s < len(mine):  # runs of seeds that could belong to one copy
-                            e = s
-                            while e + 1 < len(mine) and mine[e + 1] - mine[e] <= size:
-                                e += 1
-                            todo.append((i, k, max(0, mine[s] - 2 * size), body[max(0, mine[s] - 2 * size) : mine[e] + n + 2 * size]))
-                            s = e + 1
-            todo.sort(key=lambda x: (len(x[3]), len(texts[x[1]])))
-            out = []
-            s = 0
-            while s < len(todo):
-                e, widest = s, 1
-                while e < len(todo) and (e - s + 1) * len(todo[e][3]) <= 40_000 or e == s:
-                    e += 1
-                    if e == len(todo):
-                        break
-                best, first, last = align([texts[k] for _, k, _, _ in todo[s:e]], [w for *_, w in todo[s:e]])
-                out += [(i, ids[k], float(b) / (MATCH * len(texts[k])), p + int(f), int(z - f)) for (i, k, p, _), b, f, z in zip(todo[s:e], best, first, last, strict=True)]
-                s = e
-            out = [x for x in out if x[2] >= threshold]
-            if out:
-                row, item, value, first, length = map(list, zip(*out, strict=True))
-                at = pa.array(row)
-                begin = batch.column("begin").take(at).to_numpy() + np.array(first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(item, pa.int64()), pa.array(value), pa.array(begin), pa.array(length, pa.int64())], ["doc_id", "item_id", "score", "first_word", "n_words"])
-
-    return found.mapInArrow(score, "doc_id long, item_id long, score double, first_word long, n_words long")
+            for lo, _, h, bounds in _normal(batch.column(1)):
+                todo = sorted(candidates(items, h, bounds), key=lambda c: (c[3] - c[2], len(texts[c[0]])))
+                out = []
+                s = 0
+                while s < len(todo):
+                    e = s + 1
+                    while e < len(todo) and (e - s + 1) * (todo[e][3] - todo[e][2]) <= 40_000:
+                        e += 1
+                    best, first, last = align([texts[c[0]] for c in todo[s:e]], [h[c[2] : c[3]] for c in todo[s:e]])
+                    out += [(lo + r, ids[k], float(b) / (MATCH * len(texts[k])), x - int(bounds[r]) + int(f), int(z - f)) for (k, r, x, _), b, f, z in zip(todo[s:e], best, first, last, strict=True)]
+                    s = e
+                out = [x for x in out if x[2] >= threshold]
+                if out:
+                    row, item, value, first, length = map(list, zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(value), pa.array(first, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "item_id", "score", "first_word", "n_words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, score double, first_word long, n_words long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

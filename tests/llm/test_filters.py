@@ -72,6 +72,34 @@ def test_contamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("places", [4_000_000, 50])
+def test_edited_copies_like_brute_force(spark, monkeypatch, places):
+    monkeypatch.setattr(decontaminate, "PLACES_AT_ONCE", places, raising=False)
+    rng = random.Random(5)
+    common = ["the", "of", "to", "and", "in"]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else "".join(rng.choice("abcdefgh") for _ in range(2))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 40)))) for i in range(24)]
+    docs = [(-1 - i, t) for i, t in items]  # exact copies too, beside which the destroyed words are the rarer
+    for i, t in items:
+        for every in (2, 3, 4, 5):
+            w = t.split()
+            changed = ["zz" + word() if k % every == every - 1 else x for k, x in enumerate(w)]
+            added = [y for k, x in enumerate(w) for y in ([x, "zz" + word()] if k % every == every - 1 else [x])]
+            gone = [x for k, x in enumerate(w) if k % every != every - 1]
+            for kind, x in enumerate((changed, added, gone)):
+                docs.append((i * 100 + every * 10 + kind, " ".join([word() for _ in range(30)] + x + [word() for _ in range(30)])))
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = normal(item), normal(text)
+            s = smith_waterman(a, b) / len(a)
+            if s >= decontaminate.THRESHOLD:
+                want[d, i] = pytest.approx(s)
+    assert sum(d >= 0 for d, _ in want) > 150
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+
+
 def test_items_in_groups_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
