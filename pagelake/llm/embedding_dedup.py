@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors: all pairs of a label, block against block."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, ship
 
 THRESHOLD = 0.93
-PASSES, HASHES, NEIGHBOURS, SEED = 8, 64, 12, 7
-#: Vectors of one task when a component's links are counted; larger components are compared block by block.
-BLOCK = 2048
+#: A label of n vectors is compared in blocks of sqrt(n * BLOCK) at most; up to BLOCK, it is one. Products held at once.
+BLOCK, TILE = 2048, 1 << 20
 
 
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,17 +39,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors are compared only if their labels are equal and not null (and they have equally many components), by cosine in
     double precision. Null or zero vectors and those with null or non-finite components link with nothing. Equal
-    vectors of a label collapse to one class first. In each pass classes are ordered by their label and by the signs of random
-    projections, concatenated; each is compared with its next `neighbours`, and pairs of `threshold` or more are
-    links. Passes differ in their projections; the union of their pairs gives components. Then links are counted inside each
-    component, among all its classes, block against block where it is large: so a class in the midst of many links counts
-    all of them, not just those within its windows. A vec_id that is repeated stands for its rows together. An empty
-    table gives no rows.
+    vectors of a label collapse to one class first. All classes of a label are compared with each other, so every pair of
+    `threshold` or more is a link, at any size: a label of n classes makes B = sqrt(n / BLOCK) blocks, and each of the
+    B * (B + 1) / 2 pairs of blocks is one group of a task. A group gives numbers of links and, for components, one edge a class
+    and not one a link. A vec_id that is repeated stands for its rows together. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -67,108 +64,61 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     usable = cut(rows.where("label IS NOT NULL AND embedding IS NOT NULL").mapInArrow(unit, "vec_id long, label string, v binary"), "units")
     grouped = usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("many"))
     classes = cut(grouped.select(F.xxhash64("label", "v").alias("class"), F.concat_ws("/", F.length("v").cast("string"), "label").alias("box"), "label", "v", "first", "many"), "classes")
-
-    def signs(seed: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            planes: dict[int, np.ndarray] = {}
-            for b in batches:
-                lens = np.array([len(x) for x in b.column("v").to_pylist()])
-                for size in np.unique(lens):
-                    mine = b.filter(pa.array(lens == size))
-                    m = _matrix(mine.column("v"))
-                    p = planes.setdefault(m.shape[1], np.random.default_rng([SEED, seed, m.shape[1]]).standard_normal((m.shape[1], HASHES)))
-                    bits = np.packbits(m @ p > 0, axis=1)
-                    yield pa.RecordBatch.from_arrays([mine.column("box"), pa.array([x.tobytes() for x in bits], pa.binary()), mine.column("class"), mine.column("v")], ["box", "sign", "class", "v"])
-
-        return run
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = ids = m = None
-        for b in batches:
-            new_box, new_ids, raw = b.column("box").to_pylist(), b.column("class").to_numpy(), b.column("v").to_pylist()
-            s = 0
-            while s < len(b):
-                e = s
-                while e < len(b) and new_box[e] == new_box[s]:
-                    e += 1
-                now_m = np.frombuffer(b"".join(raw[s:e]), "<f8").reshape(e - s, -1)
-                now_ids = new_ids[s:e]
-                fresh = 0
-                if box == new_box[s]:
-                    fresh = len(ids)
-                    now_m, now_ids = np.vstack([m, now_m]), np.concatenate([ids, now_ids])
-                lo, hi = [], []
-                for k in range(1, neighbours + 1):
-                    first = max(0, fresh - k)
-                    a, z = now_m[first : len(now_m) - k], now_m[first + k :]
-                    if len(a):
-                        near = np.flatnonzero((a * z).sum(1) >= threshold)
-                        lo.append(now_ids[first + near])
-                        hi.append(now_ids[first + near + k])
-                if lo:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))], ["a", "b"])
-                box, ids, m = new_box[s], now_ids[-neighbours:], now_m[-neighbours:]
-                s = e
-
-    links = None
-    for k in range(passes):
-        keyed = classes.mapInArrow(signs(k), "box string, sign binary, class long, v binary")
-        ordered = keyed.repartitionByRange("box", "sign", "class").sortWithinPartitions("box", "sign", "class")
-        found = ordered.mapInArrow(windows, "a long, b long")
-        links = found if links is None else links.union(found)
-    roots = cut(connected_components(cut(links.distinct(), "links"), "a", "b"), "roots")
-    sizes = cut(roots.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    members = cut(classes.join(roots, classes["class"] == roots["node"]).join(sizes, "root").select("root", "size", "class", "v", "many"), "members")
-    small = members.where(F.col("size") <= BLOCK)
-    counted = small.groupBy("root").applyInArrow(_count(threshold), "class long, n long")
-    # a component of B blocks is compared in B * (B + 1) / 2 tasks
-    blocks = members.where(F.col("size") > BLOCK).select("*", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    sizes = cut(classes.groupBy("box").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    blocks = classes.join(sizes, "box").withColumn("blocks", F.ceil(F.sqrt(F.col("size") / BLOCK)).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
-    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "v", "many")
-    counted = counted.union(spread.groupBy("root", "x", "y").applyInArrow(_count_blocks(threshold), "class long, n long"))
-    counted = counted.groupBy("class").agg(F.sum("n").alias("n"))
-    ends = classes.join(roots, classes["class"] == roots["node"], "left").join(counted, "class", "left")
-    ends = cut(ends.select("label", "v", F.coalesce("root", "class").alias("root"), "first", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links")), "ends")
+    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("box", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "v", "many")
+    compared = cut(spread.groupBy("box", "x", "y").applyInArrow(_compare(threshold), "class long, n long, head long"), "compared")
+    roots = cut(connected_components(compared.where(F.col("class") != F.col("head")).select("class", "head").distinct(), "class", "head"), "roots")
+    counted = compared.groupBy("class").agg(F.sum("n").alias("n"))
+    ends = classes.select("class", "first", "many").join(roots, classes["class"] == roots["node"], "left").join(counted, "class", "left")
+    ends = cut(ends.select("class", F.coalesce("root", "class").alias("root"), "first", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links")), "ends")
     least = ends.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = ends.join(least, "root").select("label", "v", "n_links", "component_id")
-    answer = cut(usable.join(named, ["label", "v"]).select(F.col("vec_id").alias("_id"), "n_links", "component_id"), "answer").groupBy("_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    named = ends.join(least, "root").select("class", "n_links", "component_id")
+    answer = cut(usable.select("vec_id", F.xxhash64("label", "v").alias("class")).join(named, "class").select(F.col("vec_id").alias("_id"), "n_links", "component_id"), "answer").groupBy("_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("vec_id").join(answer, F.col("vec_id") == F.col("_id"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _count(threshold: float):
+def _compare(threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        m, many = _matrix(t.column("v").combine_chunks()), t.column("many").to_numpy()
-        n = np.zeros(len(m), np.int64)
-        for s in range(0, len(m), 512):
-            near = _cosine(m[s : s + 512], m) >= threshold
-            near[np.arange(near.shape[0]), s + np.arange(near.shape[0])] = False
-            n[s : s + 512] = near @ many
-        return pa.table({"class": t.column("class"), "n": pa.array(n)})
+        """Classes of block x against those of block y, or of x among themselves: links of each that has any, and a class it is joined with."""
+        ids, many, block = (t.column(c).to_numpy() for c in ("class", "many", "block"))
+        m = _matrix(t.column("v").combine_chunks())
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        ma, mb = m[a], m[b]
+        n, head = np.zeros(len(m), np.int64), np.arange(len(m))
+        rows = max(1, TILE // max(1, len(b)))
+        for s in range(0, len(a), rows):
+            past = s if x == y else 0
+            near = _cosine(ma[s : s + rows], mb[past:]) >= threshold
+            i, j = np.nonzero(np.triu(near, 1) if x == y else near)
+            i, j = a[s + i], b[past + j]
+            np.add.at(n, i, many[j])
+            np.add.at(n, j, many[i])
+            _join(head, i, j)
+        linked = np.flatnonzero(n)
+        return pa.table({"class": pa.array(ids[linked], pa.int64()), "n": pa.array(n[linked], pa.int64()), "head": pa.array(ids[head[linked]], pa.int64())})
 
     return run
 
 
-def _count_blocks(threshold: float):
-    def run(t: pa.Table) -> pa.Table:
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        if x == y:
-            return _count(threshold)(t)
-        block = t.column("block").to_numpy()
-        a, b = t.filter(pa.array(block == x)), t.filter(pa.array(block == y))
-        if not len(a) or not len(b):
-            return pa.table({"class": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        ma, mb = _matrix(a.column("v").combine_chunks()), _matrix(b.column("v").combine_chunks())
-        na, nb = np.zeros(len(ma), np.int64), np.zeros(len(mb), np.int64)
-        wa, wb = a.column("many").to_numpy(), b.column("many").to_numpy()
-        for s in range(0, len(ma), 512):
-            near = _cosine(ma[s : s + 512], mb) >= threshold
-            na[s : s + 512] = near @ wb
-            nb += wa[s : s + 512] @ near
-        return pa.table({"class": pa.concat_arrays([a.column("class").combine_chunks(), b.column("class").combine_chunks()]), "n": pa.array(np.concatenate([na, nb]))})
-
-    return run
+def _join(head: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Make the components of i[k] and j[k] one, for each k; head is the first member of each one's component, before and after."""
+    while True:
+        p, q = head[i], head[j]
+        apart = p != q
+        if not apart.any():
+            return
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        np.minimum.at(head, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = head[head]
+            if (up == head).all():
+                break
+            head[:] = up
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:

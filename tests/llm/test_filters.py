@@ -181,6 +181,20 @@ def test_embeddings_like_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_no_pair_of_a_large_label_is_lost(spark):
+    rng = np.random.default_rng(6)
+    n, pairs = 20_000, 1_000
+    m = rng.standard_normal((n, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for k in range(pairs):  # rows 2k and 2k + 1 have a cosine of 0.931 to 0.97
+        c = rng.uniform(0.931, 0.97)
+        side = m[2 * k + 1] - (m[2 * k + 1] @ m[2 * k]) * m[2 * k]
+        m[2 * k + 1] = c * m[2 * k] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: (1, i // 2 * 2) if i < 2 * pairs else (0, i) for i in range(n)}
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
