@@ -25,8 +25,8 @@ FLAG = 0.5
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 
-def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, features, row of each): the distinct words of each text, letters and digits in lower case, and their beginnings."""
+def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, features, row of each, value of each): the distinct words of each text, letters and digits in lower case, and their beginnings; the value is log2(1 + times that it stands there)."""
     for lo, hi, data, offsets in pieces(column):
         data = lower(data)
         s, e, rows = words(data, offsets, ALNUM)
@@ -35,8 +35,8 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             long = np.flatnonzero(e - s > n)
             h = hash_spans(data, s[long], s[long] + n) ^ U64(0x5851F42D4C957F2D)
             keys.append(rows[long] * FEATURES + (h >> U64(44)).astype(np.int64))
-        both = np.unique(np.concatenate(keys))
-        yield lo, hi, both % FEATURES, both // FEATURES
+        both, times = np.unique(np.concatenate(keys), return_counts=True)
+        yield lo, hi, both % FEATURES, both // FEATURES, np.log2(1 + times).astype(np.float32)
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of P(grade > k) = sigmoid(w.x - t[k]).
 
     Words that only come with toxic documents by being in copies of one are many, and words that make them toxic are few.
@@ -60,11 +60,11 @@ def fit(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, levels: int) -> tupl
     inside = np.zeros(FEATURES, bool)
     w, t = np.zeros(FEATURES), _logit(_shares(y, levels))
     for _ in range(ROUNDS):
-        eta = np.bincount(rows, w[feats], n)
+        eta = np.bincount(rows, w[feats] * values, n)
         p = _sigmoid(eta[:, None] - t[None])
         open_part = ((y[:, None] > np.arange(levels - 1)) - p).sum(1)
-        told = np.bincount(feats, open_part[rows], FEATURES)
-        spread = np.bincount(feats, np.maximum((p * (1 - p)).sum(1), 0.01)[rows], FEATURES)
+        told = np.bincount(feats, open_part[rows] * values, FEATURES)
+        spread = np.bincount(feats, np.maximum((p * (1 - p)).sum(1), 0.01)[rows] * values**2, FEATURES)
         z = np.where(inside, 0.0, told / np.sqrt(np.maximum(spread, 1e-9)))
         new = z >= max(LEAST_Z, z.max() / 2)
         if not new.any():
@@ -72,7 +72,7 @@ def fit(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, levels: int) -> tupl
         inside |= new
         mine = inside[feats]
         used, local = np.unique(feats[mine], return_inverse=True)
-        beta, t = _descend(rows[mine], local, y, levels, w[used])
+        beta, t = _descend(rows[mine], local, values[mine], y, levels, w[used])
         w = np.zeros(FEATURES)
         w[used] = beta
     return w, t
@@ -87,7 +87,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return -np.log(p / (1 - p))
 
 
-def _descend(rows: np.ndarray, local: np.ndarray, y: np.ndarray, levels: int, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _descend(rows: np.ndarray, local: np.ndarray, values: np.ndarray, y: np.ndarray, levels: int, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the words let in, and thresholds, by Adam on the penalised mean log-likelihood, all rows each step.
 
     Thresholds are the first and exponentials of steps, so they ascend: a higher grade is never likelier to be passed."""
@@ -99,7 +99,7 @@ def _descend(rows: np.ndarray, local: np.ndarray, y: np.ndarray, levels: int, be
     for step in range(1, STEPS + 1):
         beta, gap = params[:m], params[m:]
         t = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
-        eta = np.bincount(rows, beta[local], n)
+        eta = np.bincount(rows, beta[local] * values, n)
         above = np.concatenate([np.ones((n, 1)), _sigmoid(eta[:, None] - t[None]), np.zeros((n, 1))], 1)
         p = np.maximum(above[every, y] - above[every, y + 1], 1e-12)
         slope = above * (1 - above)
@@ -107,7 +107,7 @@ def _descend(rows: np.ndarray, local: np.ndarray, y: np.ndarray, levels: int, be
         d_t = np.bincount(np.maximum(y - 1, 0), np.where(y > 0, slope[every, y] / p / n, 0.0), levels - 1)
         d_t = d_t + np.bincount(np.minimum(y, levels - 2), np.where(y < levels - 1, -slope[every, y + 1] / p / n, 0.0), levels - 1)
         d_gap = np.array([d_t[k:].sum() * (1 if k == 0 else np.exp(gap[k])) for k in range(levels - 1)])
-        grad = np.concatenate([np.bincount(local, d_eta[rows], m) + PENALTY * beta, d_gap])
+        grad = np.concatenate([np.bincount(local, d_eta[rows] * values, m) + PENALTY * beta, d_gap])
         mean = 0.9 * mean + 0.1 * grad
         square = 0.98 * square + 0.02 * grad * grad
         params = params - 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.98**step)) + 1e-8)
@@ -123,25 +123,28 @@ def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, f, r in features(b.column("text")):
+            for lo, hi, f, r, v in features(b.column("text")):
                 per = np.bincount(r, minlength=hi - lo)
                 upto = np.concatenate([[0], np.cumsum(per)])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("grade").slice(lo, hi - lo), pa.array([f[a:z].astype("<i4").tobytes() for a, z in zip(upto[:-1], upto[1:], strict=True)], pa.binary())], ["doc_id", "grade", "f"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("grade").slice(lo, hi - lo), pa.array([f[a:z].astype("<i4").tobytes() for a, z in zip(upto[:-1], upto[1:], strict=True)], pa.binary()), pa.array([v[a:z].astype("<f4").tobytes() for a, z in zip(upto[:-1], upto[1:], strict=True)], pa.binary())], ["doc_id", "grade", "f", "v"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, grade long, f binary").collect(), key=lambda r: (r["doc_id"], r["f"]))  # at most sample_rows
+    got = sorted(rows.mapInArrow(run, "doc_id long, grade long, f binary, v binary").collect(), key=lambda r: (r["doc_id"], r["f"], r["v"]))  # at most sample_rows
     seen, y = np.unique([r["grade"] for r in got], return_inverse=True)
     if len(seen) < 2 or seen[0] > 0:
         return np.zeros(FEATURES, np.float32), np.array([30.0])
     parts = [np.frombuffer(r["f"], "<i4") for r in got]
     r = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    w, t = fit(r, np.concatenate(parts).astype(np.int64), y, len(seen))
+    values = np.concatenate([np.frombuffer(r["v"], "<f4") for r in got])
+    feats = np.concatenate(parts).astype(np.int64)
+    del got, parts  # the driver's memory is small
+    w, t = fit(r, feats, values, y, len(seen))
     return w.astype(np.float32), t
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], flag: float = FLAG) -> DataFrame:
     """Per document: doc_id, severity (expected grade), grade (the likeliest), p_toxic (any grade above 0), toxic (p_toxic >= flag).
 
-    Every word of the whole text counts, once however often it stands; a null or empty text has the grade of no words at all.
+    Every word of the whole text counts, and how often it stands; a null or empty text has the grade of no words at all.
     The weights go to the executors once: FEATURES numbers."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -149,8 +152,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], flag: float = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, t = shared.value
         for b in batches:
-            for lo, hi, f, r in features(b.column("text")):
-                eta = np.bincount(r, w[f], hi - lo)
+            for lo, hi, f, r, v in features(b.column("text")):
+                eta = np.bincount(r, w[f] * v, hi - lo)
                 above = _sigmoid(eta[:, None] - t[None])
                 p = -np.diff(np.concatenate([np.ones((hi - lo, 1)), above, np.zeros((hi - lo, 1))], 1), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(above.sum(1)), pa.array(p.argmax(1), pa.int32()), pa.array(above[:, 0]), pa.array(above[:, 0] >= flag)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])

@@ -229,6 +229,25 @@ def test_toxicity(spark):
     assert model[1].tolist() == sorted(model[1].tolist())
 
 
+def test_toxic_documents_are_found_in_each_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    graded = toxicity.grades(labels)
+    model = toxicity.train(docs, graded.where("doc_id % 5 != 0"))
+    bad = graded.where("grade > 0 AND doc_id % 5 = 0").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL")
+    got = toxicity.score(docs, model).select("doc_id", "toxic").join(bad, "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        mine = [r["toxic"] for r in got if r["lang"] == lang]
+        assert mine and sum(mine) >= 0.8 * len(mine), lang  # es has 6
+
+
+def test_how_often_a_word_stands_counts(spark):
+    texts = ["a word now and then is fine", "word word word word word word now and then is fine"]
+    df = spark.createDataFrame([(i, texts[i % 2]) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = toxicity.score(df, toxicity.train(df, toxicity.grades(labels))).collect()
+    assert all(r["toxic"] == (r["doc_id"] % 2 == 1) for r in got)
+
+
 def test_toxicity_edge_cases(spark):
     texts = ["a fine day it is", "you awful fool number", "you vile awful fool"]
     rows = [(i, texts[i % 3], 7) for i in range(300)] + [(1000, None, 7), (1001, "", 7), (1002, "fool " * 100_000, 7), (None, "fool", 7)]
