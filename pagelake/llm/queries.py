@@ -90,6 +90,18 @@ SELECT conv_id, count(*) AS n_turns,
        sum(2 + r + 2 + x + 7)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+#: All pairs of a label: right at any size, quick on small tables only.
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(DISTINCT b) AS n_links FROM l GROUP BY a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
 _TWO = ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES)
 OP5_SQL = f"""
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -123,5 +135,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op5_url_filter": OP5_SQL, "op7_chat": OP7_SQL}
+    out = {"op5_url_filter": OP5_SQL, "op7_chat": OP7_SQL, "op8_embedding_dedup": OP8_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -181,6 +181,31 @@ def test_embeddings_like_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_labels_of_any_size_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ROWS_A_TASK", 8)  # a window reaches over several tasks
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in range(31):
+        base = rng.standard_normal((max(1, size // 3), 8))
+        rows += [(len(rows) + k, (base[k % len(base)] + rng.standard_normal(8) * 0.12).tolist(), size) for k in range(size)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    label = {i: k for i, _, k in rows}
+    want = {i: sum(j != i and label[i] == label[j] and unit[i] @ unit[j] >= 0.93 for j in unit) for i in unit}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).collect()} == want and sum(want.values()) > 100
+
+
+def test_recall_of_passes_where_windows_are_short(spark):
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((1500, 32))
+    m[1::2] = m[::2] + rng.standard_normal((750, 32)) * 0.3
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    true = [k for k in range(750) if unit[2 * k] @ unit[2 * k + 1] >= 0.93]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_vectors(df, window=16).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in true) >= 0.99 * len(true) > 600
+
+
 def test_no_pair_of_a_large_label_is_lost(spark):
     rng = np.random.default_rng(6)
     n, pairs = 20_000, 1_000
