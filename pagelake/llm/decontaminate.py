@@ -1,4 +1,4 @@
-"""Benchmark decontamination: places that share enough words with an item, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare pairs of words join documents to items, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -8,34 +8,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, ship
-from .text import ALNUM, U64, hash_spans, lower, pieces, row_bounds, words
+from .text import U64, WORD_BASE, hash_spans, lower, mix, pieces, row_bounds, script_words
 
 #: Items of fewer words match nothing.
 LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Score of the best local alignment over the item's number of words, from which a document counts as a copy.
 THRESHOLD = 0.5
-#: Up to so many benchmark items are sent to every executor; more are read in groups. Places of items' words looked at together.
-ITEMS_AT_ONCE, PLACES_AT_ONCE = 20_000, 4_000_000
+#: Rare seeds that a place must share with an item to be aligned, or as many as the item's length assures; bits of the filter of seeds, as a power of 2.
+HITS, FILTER_BITS = 3, 26
 
 
 def _normal(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, hash of each word, word bounds of the rows): words are runs of letters and digits, in lower case."""
+    """(first row, last row + 1, hash of each word, word bounds of the rows): runs of letters and digits in lower case, single characters of scripts beyond U+0800."""
     for lo, hi, data, offsets in pieces(column):
         data = lower(data)
-        s, e, rows = words(data, offsets, ALNUM)
+        s, e, rows = script_words(data, offsets)
         yield lo, hi, hash_spans(data, s, e), row_bounds(rows, hi - lo)
 
 
-def item_words(texts: list[str | None]) -> list[np.ndarray]:
-    out = []
-    for lo, hi, h, bounds in _normal(pa.array(texts, pa.string())):
-        out += [h[bounds[i] : bounds[i + 1]] for i in range(hi - lo)]
-    return out
-
-
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman over words, all pairs in step: (best score, first word, last word + 1 in the window) of each."""
     n = len(items)
@@ -75,130 +69,225 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, first, last
 
 
+def pair_seeds(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, row, place of the first word) of all pairs of words of a row that follow each other, or with one word between; by row and place."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    seeds, at = [], []
+    for step in (1, 2):
+        first = np.flatnonzero(row[:-step] == row[step:]) if len(row) > step else np.zeros(0, np.int64)
+        seeds.append(mix(h[first] * U64(WORD_BASE) + h[first + step]))
+        at.append(first)
+    seed, place = np.concatenate(seeds), np.concatenate(at)
+    order = np.argsort(place, kind="stable")
+    return seed[order], row[place[order]], place[order]
+
+
+def _bits(seed: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    return (seed >> U64(64 - power)).astype(np.int64), (seed & U64((1 << power) - 1)).astype(np.int64)
+
+
+def _may_hold(bitmap: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    out = np.ones(len(seed), bool)
+    for at in _bits(seed, len(bitmap).bit_length() + 2):
+        out &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column `seed`, of 2 ** FILTER_BITS bits whatever the number of seeds: a false hit costs a row and no more.
+
+    Tasks give the blocks of it that they have set bits in, blocks meet by number, and what comes to the driver is the filter's size."""
+    power, block = FILTER_BITS, 1 << 13
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (power - 3), np.uint8)
+        for b in batches:
+            for at in _bits(b.column(0).to_numpy().view(U64), power):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k in np.unique(np.flatnonzero(bits) // block):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bits[k * block : (k + 1) * block].tobytes()], pa.binary())], ["block", "bits"])
+
+    def either(t: pa.Table) -> pa.Table:
+        some = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
+        return pa.table({"block": t.column("block").slice(0, 1), "bits": pa.array([some.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (power - 3), np.uint8)
+    for r in seeds.select("seed").mapInArrow(part, "block long, bits binary").groupBy("block").applyInArrow(either, "block long, bits binary").collect():
+        out[r["block"] * block : r["block"] * block + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _items(benchmark: DataFrame, threshold: float, least_words: int) -> DataFrame:
+    """(item, item_id, n, words, share): words as hashes; of `share` pairs that follow each other in an alignment over the threshold one at least is a seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, h, bounds in _normal(b.column(1)):
+                n = np.diff(bounds)
+                keep = np.flatnonzero(n >= least_words)
+                blobs = [h[bounds[r] : bounds[r + 1]].astype("<u8").tobytes() for r in keep]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + keep)), pa.array(n[keep].astype(np.int32)), pa.array(blobs, pa.binary())], ["item_id", "n", "words"])
+
+    some = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    some = some.mapInArrow(run, "item_id long, n int, words binary").distinct()
+    good = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1 - 1e-9).cast("int"))
+    return some.select(F.monotonically_increasing_id().alias("item"), "item_id", "n", "words", F.least(F.lit(HITS), good).alias("hits"), good.alias("good"))
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(item, seed, times) of all pairs of each item's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(blob, "<u8")
+                seed, times = np.unique(pair_seeds(h, np.array([0, len(h)]))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seed), item)), pa.array(seed.view(np.int64)), pa.array(times)], ["item", "seed", "times"])
+
+    return items.select("item", "words").mapInArrow(run, "item long, seed long, times long")
+
+
+def _rare(docs: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(item, seed): the pairs of each item but the commonest of all documents, as many fewer as the guarantee allows."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for b in batches:
+            for _, _, h, bounds in _normal(b.column(0)):
+                seed = pair_seeds(h, bounds)[0]
+                seed, n = np.unique(seed[_may_hold(bitmap, seed)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], ["seed", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    ranked = seeds.join(counts, "seed")  # pairs that stand in no document can't meet one
+    upto = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("n"), "seed"))
+    ranked = ranked.withColumn("upto", upto).join(items.select("item", "good", "hits"), "item")
+    return ranked.where(F.col("upto") > F.col("good") - F.col("hits")).select("item", "seed")
+
+
+def _windows(docs: DataFrame, rare: DataFrame, span: int, hits: int) -> DataFrame:
+    """Runs of words of documents that hold `hits` rare seeds close together: doc_id, copy, start, words (hashes), seeds and at (their places)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(rare))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for b in batches:
+            for lo, _, h, bounds in _normal(b.column(2)):
+                seed, row, place = pair_seeds(h, bounds)
+                mine = np.flatnonzero(_may_hold(bitmap, seed))
+                seed, row, place = seed[mine], row[mine], place[mine]
+                lead = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
+                spots, at_row = place[lead], row[lead]  # a place counts once, however many seeds begin there
+                if len(spots) < hits:
+                    continue
+                first, last = spots[: len(spots) - hits + 1], spots[hits - 1 :]
+                close = (at_row[: len(first)] == at_row[hits - 1 :]) & (last - first < span)
+                r = at_row[: len(first)][close]
+                if not len(r):
+                    continue
+                low, high = np.maximum(last[close] - span + 1, bounds[r]), np.minimum(first[close] + span + 1, bounds[r + 1])
+                begin = np.concatenate([[True], (low[1:] > high[:-1]) | (r[1:] != r[:-1])])
+                low, high, r = low[begin], np.maximum.reduceat(high, np.flatnonzero(begin)), r[begin]
+                s, e = np.searchsorted(place, low), np.searchsorted(place, high)
+                take = lambda x, kind: pa.array([x[a:z] for a, z in zip(s, e, strict=True)], pa.list_(kind))  # noqa: E731, B023
+                words_of = pa.array([h[a:z].astype("<u8").tobytes() for a, z in zip(low, high, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + r)), b.column(1).take(pa.array(lo + r)), pa.array((low - bounds[r]).astype(np.int32)), words_of, take(seed.view(np.int64), pa.int64()), pa.array([(place[a:z] - x).astype(np.int32) for a, z, x in zip(s, e, low, strict=True)], pa.list_(pa.int32()))], ["doc_id", "copy", "start", "words", "seeds", "at"])
+
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, start int, words binary, seeds array<long>, at array<int>")
+
+
+def _parts(at: np.ndarray, hits: int, span: int, size: int) -> Iterator[tuple[int, int]]:
+    """Where in a window of `size` words an alignment can lie: about each `hits` places of its item's seeds that stand within `span`."""
+    close = np.flatnonzero(at[hits - 1 :] - at[: len(at) - hits + 1] < span)
+    low, high = np.maximum(at[close + hits - 1] - span + 1, 0), np.minimum(at[close] + span + 1, size)
+    begin = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    yield from zip(low[begin].tolist(), np.maximum.reduceat(high, begin).tolist(), strict=True)
+
+
+def _aligned(threshold: float):
+    """Rows (doc_id, copy, start, words, at, hits, item_id, own) as (doc_id, copy, item_id, score, first_word, n_words) where an alignment reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            todo = []
+            for k, (blob, own, at, hits) in enumerate(zip(b.column("words"), b.column("own"), b.column("at"), b.column("hits"), strict=True)):
+                h, item = np.frombuffer(blob.as_buffer(), "<u8"), np.frombuffer(own.as_buffer(), "<u8")
+                least = threshold * MATCH * len(item)
+                for low, high in _parts(np.array(at.as_py(), np.int64), hits.as_py(), span_of(len(item), threshold), len(h)):
+                    # the best run with MATCH for each word that the item has and the lesser penalty for others: no alignment scores more
+                    run = np.concatenate([[0.0], np.cumsum(np.where(np.isin(h[low:high], item), MATCH, max(MISMATCH, GAP)))])
+                    if (run - np.minimum.accumulate(run)).max() >= least - 1e-9:
+                        todo.append((k, item, h[low:high], low))
+            todo.sort(key=lambda c: (len(c[2]), len(c[1])))
+            out = []
+            s = 0
+            while s < len(todo):
+                e = s + 1
+                while e < len(todo) and (e - s + 1) * len(todo[e][2]) <= 40_000:
+                    e += 1
+                best, first, last = align([c[1] for c in todo[s:e]], [c[2] for c in todo[s:e]])
+                out += [(c[0], float(x) / (MATCH * len(c[1])), c[3] + int(f), int(z - f)) for c, x, f, z in zip(todo[s:e], best, first, last, strict=True)]
+                s = e
+            out = [x for x in out if x[1] >= threshold]
+            if out:
+                k, score, first, length = (np.array(x) for x in zip(*out, strict=True))
+                at = b.column("start").to_numpy()[k] + first
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(k)) for c in ("doc_id", "copy", "item_id")), pa.array(score), pa.array(at.astype(np.int64)), pa.array(length.astype(np.int64))], ["doc_id", "copy", "item_id", "score", "first_word", "n_words"])
+
+    return run
+
+
+def span_of(n: int, threshold: float) -> int:
+    """Words of a document that an alignment over the threshold with an item of n words spans at most."""
+    return n + max(0, int((1 - threshold) * MATCH * n / -max(MISMATCH, GAP) + 1e-9))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, least_words: int) -> DataFrame:
+    """(doc_id, copy, item_id, score, first_word, n_words); copy tells texts of one doc_id apart."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    items = cut(_items(benchmark, threshold, least_words), "items")
+    longest, hits = items.agg(F.max("n"), F.min("hits")).first()
+    if longest is None:
+        return docs.limit(0).select("doc_id", "copy", *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("score", "double"), ("first_word", "long"), ("n_words", "long"))))
+    rare = cut(_rare(docs, items, cut(_item_seeds(items), "seeds")), "rare")
+    windows = cut(_windows(docs, rare, span_of(longest, threshold), hits), "windows")
+    place = ["doc_id", "copy", "start"]
+    met = windows.select(*place, F.explode(F.arrays_zip("seeds", "at")).alias("s")).select(*place, F.col("s.seeds").alias("seed"), F.col("s.at").alias("place")).join(rare, "seed")
+    met = met.groupBy(*place, "item").agg(F.sort_array(F.collect_set("place")).alias("at")).join(items.select("item", "n", "hits"), "item")
+    reach = F.col("n") + F.floor(F.lit((1 - threshold) * MATCH / -max(MISMATCH, GAP)) * F.col("n") + 1e-9).cast("int")
+    later = F.slice("at", F.col("hits"), F.greatest(F.size("at") - F.col("hits") + 1, F.lit(0)))
+    met = met.where(F.size("at") >= F.col("hits")).where(F.exists(F.transform(later, lambda x, i: x - F.get("at", i)), lambda d: d < reach))
+    met = cut(met.select(*(F.col(c).alias(f"_{c}") for c in place), "item", "at", "hits"), "met")
+    same = [windows[c].eqNullSafe(met[f"_{c}"]) for c in place]
+    both = windows.select(*place, "words").join(met, [same[0], same[1], same[2]]).join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+    return both.select(*place, "words", "at", "hits", "item_id", "own").mapInArrow(_aligned(threshold), "doc_id long, copy long, item_id long, score double, first_word long, n_words long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each document and benchmark item of which it holds a copy: doc_id, item_id, score, first_word, n_words.
 
-    Score is the best local alignment over the item's length in words, 1 for an exact copy. Every alignment of `threshold`
-    or more is found, however the copy was edited: see candidates(). Items shorter than `least_words` can't be told from
-    chance and match nothing. Null and empty texts have no words. Items are read in groups of ITEMS_AT_ONCE, the bound of
-    what goes to every executor; each group reads the documents once. Rows with equal doc_id report one row for each item, the best.
+    Score is the best local alignment over the item's length in words, 1 for an exact copy. Seeds are pairs of words that follow
+    each other or have one word between them. Where an alignment scores `threshold` times the item's words n, at least threshold * n - 1
+    of its matches follow another with one error or none between them, so each makes a pair that both texts have. So an item
+    may leave out that many of its pairs less HITS, those that are commonest over all documents, and no alignment is lost: a copy
+    still has HITS of the rare ones within the words that it can span. Documents are read twice: to count the pairs, and to
+    give the words about HITS rare ones that stand close together. Those join the items by their seeds, a document and an item with HITS
+    seeds in common within reach are aligned, and no text is sent. Tasks know the seeds by a filter of a fixed size, so any number of items will do.
+
+    Items shorter than `least_words` can't be told from chance and match nothing. Null and empty texts have no words. Repeated rows,
+    and different texts of one doc_id, report one row for each item: the highest score, of equal scores the last place. Items of equal
+    item_id report as one.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    groups = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    out = None
-    for g in range(groups):
-        some = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        found = _group(docs, some.collect(), threshold, least_words)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "n_words")).alias("b")).select("doc_id", "item_id", "b.score", "b.first_word", "b.n_words")
-
-
-class Items:
-    """Benchmark items as numbers of their words in `table`, the ascending hashes of all words of items."""
-
-    def __init__(self, texts: list[np.ndarray], threshold: float):
-        self.texts, self.sizes = texts, np.array([len(x) for x in texts], np.int64)
-        self.table, self.word = np.unique(np.concatenate([np.zeros(0, U64), *texts]), return_inverse=True)
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        self.start = np.cumsum(self.sizes) - self.sizes
-        self.least = threshold * MATCH * self.sizes
-        #: Words that an alignment over the threshold matches at least, and words of a document that it spans at most.
-        self.need = np.maximum(1, np.ceil(self.least / MATCH - 1e-9)).astype(np.int64)
-        self.span = self.sizes + np.maximum(0, np.floor((MATCH * self.sizes - self.least) / -max(MISMATCH, GAP) + 1e-9)).astype(np.int64)
-
-
-def candidates(items: Items, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(item, row, first word, last word + 1) of all places that can hold an alignment over the threshold, and of some that don't.
-
-    Such an alignment matches `need` of an item's `size` words, so of any size - need + k of them it matches k at least, within
-    `span` words. Those taken are the rarest in the rows at hand: rarity makes the search fast and no alignment is lost by it, as
-    words that stand nowhere count among the unmatched. What is left is bounded by the best run with MATCH for each
-    word that the item has and the lesser penalty for each other one; no alignment scores more."""
-    table, sizes = items.table, items.sizes
-    if not len(table) or not len(h):
-        return
-    at = np.searchsorted(table, h)
-    at[at == len(table)] = 0
-    known = table[at] == h
-    where = np.flatnonzero(known)
-    own = at[where]
-    counts = np.bincount(own, minlength=len(table))
-    order = np.lexsort((counts[items.word], items.owner))
-    k = np.maximum(1, items.need // 3)
-    rank = np.arange(len(order)) - items.start[items.owner[order]]
-    taken = order[rank < (sizes - items.need + k)[items.owner[order]]]
-    pairs = np.unique(items.owner[taken] * len(table) + items.word[taken])
-    item, word = pairs // len(table), pairs % len(table)
-    upto = np.cumsum(counts[word])
-    member = np.zeros(len(table), bool)
-    s = 0
-    while s < len(pairs):  # so many items at once that their places fit in memory
-        e = int(np.searchsorted(upto, (upto[s - 1] if s else 0) + PLACES_AT_ONCE, "right"))
-        last = item[min(max(e, s), len(item) - 1)]
-        e = len(item) if e >= len(item) else int(np.searchsorted(item, last)) if item[s] != last else int(np.searchsorted(item, last, "right"))
-        by_word = np.argsort(word[s:e], kind="stable")
-        some = item[s:e][by_word]
-        many = np.bincount(word[s:e], minlength=len(table))
-        first = np.cumsum(many) - many
-        c = many[own]
-        place = np.repeat(where, c)
-        which = some[np.arange(len(place)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[own], c)]
-        key = np.sort(which * len(h) + place)
-        which, place = key // len(h), key % len(h)
-        row = np.searchsorted(bounds, place, "right") - 1
-        end = np.minimum(np.arange(len(key)) + k[which] - 1, len(key) - 1)
-        fits = (np.arange(len(key)) + k[which] - 1 < len(key)) & (which[end] == which) & (row[end] == row) & (place[end] - place < items.span[which])
-        f = np.flatnonzero(fits)
-        which, row, low, high = which[f], row[f], place[end[f]] - items.span[which[f]] + 1, place[f] + items.span[which[f]]
-        low, high = np.maximum(low, bounds[row]), np.minimum(high, bounds[row + 1])
-        begin = np.ones(len(f), bool)
-        begin[1:] = (low[1:] > high[:-1]) | (row[1:] != row[:-1]) | (which[1:] != which[:-1])
-        firsts = np.flatnonzero(begin)
-        lasts = np.append(firsts[1:], len(f)) - 1 if len(f) else firsts
-        now = -1
-        for i, r, x, y in zip(which[firsts].tolist(), row[firsts].tolist(), low[firsts].tolist(), high[lasts].tolist(), strict=True):
-            if i != now:
-                member[:] = False
-                member[items.word[items.start[i] : items.start[i] + sizes[i]]] = True
-                now = i
-            run = np.zeros(y - x + 1)
-            np.cumsum(np.where(known[x:y] & member[at[x:y]], MATCH, max(MISMATCH, GAP)), out=run[1:])
-            if (run - np.minimum.accumulate(run)).max() >= items.least[i] - 1e-9:
-                yield i, r, x, y
-        s = e
-
-
-def _group(docs: DataFrame, rows: list, threshold: float, least_words: int) -> DataFrame:
-    texts = item_words([r["text"] for r in rows])
-    long = [k for k, x in enumerate(texts) if len(x) >= least_words]
-    shared = docs.sparkSession.sparkContext.broadcast(([rows[k]["item_id"] for k in long], [texts[k] for k in long]))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        items = Items(texts, threshold)
-        for batch in batches:
-            for lo, _, h, bounds in _normal(batch.column(1)):
-                todo = sorted(candidates(items, h, bounds), key=lambda c: (c[3] - c[2], len(texts[c[0]])))
-                out = []
-                s = 0
-                while s < len(todo):
-                    e = s + 1
-                    while e < len(todo) and (e - s + 1) * (todo[e][3] - todo[e][2]) <= 40_000:
-                        e += 1
-                    best, first, last = align([texts[c[0]] for c in todo[s:e]], [h[c[2] : c[3]] for c in todo[s:e]])
-                    out += [(lo + r, ids[k], float(b) / (MATCH * len(texts[k])), x - int(bounds[r]) + int(f), int(z - f)) for (k, r, x, _), b, f, z in zip(todo[s:e], best, first, last, strict=True)]
-                    s = e
-                out = [x for x in out if x[2] >= threshold]
-                if out:
-                    row, item, value, first, length = map(list, zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(value), pa.array(first, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "item_id", "score", "first_word", "n_words"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, score double, first_word long, n_words long")
+    best = _found(docs, benchmark, threshold, least_words).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "n_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.n_words")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a copy of a benchmark item, by doc_id; rows without doc_id stay."""
-    bad = cut(contaminated(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that hold a copy of a benchmark item, by doc_id and text; rows without doc_id stay."""
+    bad = _found(docs, benchmark, THRESHOLD, LEAST_WORDS).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad"), "copy").distinct()
+    bad = cut(bad, "leaks")
+    same = (docs["doc_id"].cast("long") == bad["_bad"]) & (F.xxhash64(docs["text"].cast("string")) == bad["copy"])
+    return docs.join(bad, same, "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -96,6 +96,29 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACE) ->
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def script_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words() of letters and digits, where each character from U+0800 on is a word of its own, as scripts without spaces are
+    there; marks of U+2000 to U+206F and U+3000 to U+303F part words and are none."""
+    wide = data >= 0xE0
+    if not wide.any():
+        return words(data, offsets, ALNUM)
+    lead = (data & 0xC0) != 0x80
+    owner = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
+    second = np.concatenate([data[1:], np.zeros(1, np.uint8)])
+    mark = ((data == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((data == 0xE3) & (second == 0x80))
+    inside = ALNUM[data] & ~mark[owner]
+    alone = inside & wide[owner]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    parted = edge[:-1] | (alone & lead)  # a word begins here at the latest
+    parted[1:] |= alone[:-1] & ~alone[1:]
+    before = np.concatenate([np.zeros(1, bool), inside[:-1]])
+    starts = np.flatnonzero(inside & (~before | parted))
+    stops = ~inside | parted
+    ends = np.flatnonzero(np.concatenate([stops[1:], np.ones(1, bool)]) & inside) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
 def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows begins in `rows`, which ascends; n + 1 numbers."""
     return np.searchsorted(rows, np.arange(n + 1))

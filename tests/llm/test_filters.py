@@ -72,9 +72,9 @@ def test_contamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("places", [4_000_000, 50])
-def test_edited_copies_like_brute_force(spark, monkeypatch, places):
-    monkeypatch.setattr(decontaminate, "PLACES_AT_ONCE", places, raising=False)
+@pytest.mark.parametrize("hits", [1, 3, 5])
+def test_edited_copies_like_brute_force(spark, monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
     rng = random.Random(5)
     common = ["the", "of", "to", "and", "in"]
     word = lambda: rng.choice(common) if rng.random() < 0.3 else "".join(rng.choice("abcdefgh") for _ in range(2))
@@ -100,12 +100,26 @@ def test_edited_copies_like_brute_force(spark, monkeypatch, places):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
 
 
-def test_items_in_groups_give_the_same(spark, monkeypatch):
+def test_false_hits_of_the_filter_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 15)
-    assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == whole
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 16)
+    assert whole and sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == whole
+
+
+def test_scripts_without_spaces(spark):
+    item = "这是一个用来测试的句子它没有空格"
+    docs = spark.createDataFrame([(1, "前面的话。" + item + "，后面"), (2, "另外一段完全不同的文字在这里"), (3, "“plain” words — only’s")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(7, item), (8, "plain words only s")], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"], r["n_words"]) for r in got} == {(1, 7, 1.0, 16), (3, 8, 1.0, 4)}
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta", 0, 0), (1, "something else that is clean", 1, 1)], "doc_id long, text string, copy long, _bad long")
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "something else that is clean", 1, 1)]
 
 
 def test_urls_and_rules(spark):
