@@ -81,8 +81,8 @@ OP7_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
-e AS (SELECT *, length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>')) AS r,
-             length(replace(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>')) AS x FROM t)
+e AS (SELECT *, length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>')) + (role = 'end' OR starts_with(role, '>'))::INT AS r,
+             length(regexp_replace(replace(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>'), '\\[(image|audio|document) ', '\\\\[\\1 ', 'g')) AS x FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -41,6 +42,26 @@ def test_typed_parts(spark):
     assert got[2]["formatted"] == "<|user|><|end|>"
 
 
+def test_roles_and_texts_that_look_like_marks(spark):
+    roles = ["end", ">x", "end|", "|", "<", "", "\\end", "assistant", ">"]
+    texts = ["hello", ">hi", "a [image 1] b", "\\[image 1]", "[audio 2][document 3]", "|>", "<|end|>x"]
+    rows = [(0, k, r, texts[k % len(texts)]) for k, r in enumerate(roles * 7)]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.read_chats(made).first()
+    assert [tuple(t) for t in got["turns"]] == [r[2:] for r in rows]
+    assert got["loss_text"] == "".join(t for _, _, r, t in rows if r == "assistant")
+    assert not [m for m in re.findall(r"(?<!\\)\[(?:image|audio|document) ", made.first()["formatted"])]
+
+
+def test_texts_side_by_side_make_no_marks(spark):
+    part = "array<struct<type:string,text:string,ref:string,size:long>>"
+    texts = ["a<", "|end|>", "[", "image 1]", "[im", "age 2]", "", "x", "\\", ">y|", ">"]
+    parts = [("text", t, None, None) for t in texts] + [("image", None, "i.png", None), ("text", ">z", None, None)]
+    made = chat.format_chats(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {part}"), "parts")
+    assert chat.read_chats(made).first()["turns"][0]["text"] == "".join(texts) + "[image 1]>z"
+    assert re.findall(r"(?<!\\)\[image \d+\]", made.first()["formatted"]) == ["[image 1]"]
+
+
 def test_edge_cases(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat.read_chats(chat.format_chats(spark.createDataFrame([], schema))).count() == 0
