@@ -114,10 +114,20 @@ s2 AS (SELECT *, array_to_string(p[-2:], '.') AS two FROM s),
 d AS (SELECT page_id, host, path, good, CASE WHEN two IN ({_TWO}) THEN array_to_string(p[-3:], '.') ELSE two END AS domain,
              CASE WHEN two IN ({_TWO}) THEN two ELSE p[-1] END AS suffix FROM s2),
 t AS (SELECT (coalesce(sum(good), 0) + 8.0 * 0.5) / (count(good) + 8.0) AS base FROM d),
-sx AS (SELECT suffix, (coalesce(sum(good), 0) + 8.0 * any_value(base)) / (count(good) + 8.0) AS sm FROM d, t GROUP BY suffix),
-dx AS (SELECT domain, (coalesce(sum(good), 0) + 8.0 * any_value(sm)) / (count(good) + 8.0) AS dm FROM d JOIN sx USING (suffix) GROUP BY domain),
-hx AS (SELECT host, coalesce(sum(good), 0) + 8.0 * any_value(dm) AS a, count(good) - coalesce(sum(good), 0) + 8.0 * (1 - any_value(dm)) AS b
-       FROM d JOIN dx USING (domain) GROUP BY host),
+gh AS (SELECT 'h' AS level, domain AS parent, count(good)::DOUBLE AS n, sum(good)::DOUBLE AS g FROM d GROUP BY host, domain HAVING count(good) > 0),
+gd AS (SELECT 'd' AS level, suffix AS parent, count(good)::DOUBLE AS n, sum(good)::DOUBLE AS g FROM d GROUP BY domain, suffix HAVING count(good) > 0),
+gs AS (SELECT 's' AS level, '' AS parent, count(good)::DOUBLE AS n, sum(good)::DOUBLE AS g FROM d GROUP BY suffix HAVING count(good) > 0),
+pa AS (SELECT level, parent, sum(n) AS pn, sum(g) AS pg, sum(n * n) AS nn, sum(g * g / n) AS s, count(*) AS k
+       FROM (SELECT * FROM gh UNION ALL SELECT * FROM gd UNION ALL SELECT * FROM gs) GROUP BY level, parent),
+lv AS (SELECT level, sum(k) AS k, count(*) AS p, sum(pn) AS n, sum(pg) AS g, sum(s) AS s, sum(pg * pg / pn) AS t, sum(nn / pn) AS q FROM pa GROUP BY level),
+ms AS (SELECT level, (s - t) / (k - p) AS b, (g - s) / (n - k) AS w, (n - q) / (k - p) AS z FROM lv WHERE k > p AND n > k),
+st AS (SELECT level, round(CASE WHEN (b - w) / (b + (z - 1) * w) > 0 THEN greatest(1.0, least(1000.0, 1 / ((b - w) / (b + (z - 1) * w)) - 1)) ELSE 1000.0 END, 6) AS weight
+       FROM ms WHERE b + (z - 1) * w <> 0),
+wt AS (SELECT coalesce(max(weight) FILTER (level = 'h'), 8.0) AS hw, coalesce(max(weight) FILTER (level = 'd'), 8.0) AS dw, coalesce(max(weight) FILTER (level = 's'), 8.0) AS sw FROM st),
+sx AS (SELECT suffix, (coalesce(sum(good), 0) + any_value(sw) * any_value(base)) / (count(good) + any_value(sw)) AS sm FROM d, t, wt GROUP BY suffix),
+dx AS (SELECT domain, (coalesce(sum(good), 0) + any_value(dw) * any_value(sm)) / (count(good) + any_value(dw)) AS dm FROM d JOIN sx USING (suffix), wt GROUP BY domain),
+hx AS (SELECT host, coalesce(sum(good), 0) + any_value(hw) * any_value(dm) AS a, count(good) - coalesce(sum(good), 0) + any_value(hw) * (1 - any_value(dm)) AS b
+       FROM d JOIN dx USING (domain), wt GROUP BY host),
 v AS (SELECT host, a / (a + b) + 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper FROM hx),
 r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) x(verdict, h, p)),
 m AS (SELECT page_id, host, path, upper, h || p AS rule, r.verdict AS rv, row_number() OVER (PARTITION BY u.page_id, host, path ORDER BY length(h || p) DESC) AS n
