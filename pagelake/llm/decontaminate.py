@@ -205,6 +205,20 @@ def _parts(at: np.ndarray, hits: int, span: int, size: int) -> Iterator[tuple[in
     yield from zip(low[begin].tolist(), np.maximum.reduceat(high, begin).tolist(), strict=True)
 
 
+def _held(windows: DataFrame, met: DataFrame, place: list[str]) -> DataFrame:
+    """Rows of met with the words of their windows. Most windows have met no item, so a filter keeps them from being sent."""
+    shared = windows.sparkSession.sparkContext.broadcast(_bitmap(met))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_may_hold(shared.value, b.column(0).to_numpy().view(U64))))
+
+    some = windows.select(F.xxhash64(*place).alias("key"), *place, "words")
+    some = some.mapInArrow(run, some.schema).hint("merge")  # the same plan at every size
+    same = [some[c].eqNullSafe(met[f"_{c}"]) for c in place]
+    return some.join(met, [some["key"] == met["seed"], *same]).drop("key", "seed")
+
+
 def _aligned(threshold: float):
     """Rows (doc_id, copy, start, words, at, hits, item_id, own) as (doc_id, copy, item_id, score, first_word, n_words) where an alignment reaches the threshold."""
 
@@ -260,9 +274,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, least_words:
     reach = F.col("n") + F.floor(F.lit((1 - threshold) * MATCH / -max(MISMATCH, GAP)) * F.col("n") + 1e-9).cast("int")
     later = F.slice("at", F.col("hits"), F.greatest(F.size("at") - F.col("hits") + 1, F.lit(0)))
     met = met.where(F.size("at") >= F.col("hits")).where(F.exists(F.transform(later, lambda x, i: x - F.get("at", i)), lambda d: d < reach))
-    met = cut(met.select(*(F.col(c).alias(f"_{c}") for c in place), "item", "at", "hits"), "met")
-    same = [windows[c].eqNullSafe(met[f"_{c}"]) for c in place]
-    both = windows.select(*place, "words").join(met, [same[0], same[1], same[2]]).join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+    met = cut(met.select(F.xxhash64(*place).alias("seed"), *(F.col(c).alias(f"_{c}") for c in place), "item", "at", "hits"), "met")
+    both = _held(windows, met, place).join(items.select("item", "item_id", F.col("words").alias("own")), "item")
     return both.select(*place, "words", "at", "hits", "item_id", "own").mapInArrow(_aligned(threshold), "doc_id long, copy long, item_id long, score double, first_word long, n_words long")
 
 
