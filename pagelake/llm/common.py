@@ -61,6 +61,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,48 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACE) ->
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes, and where each row begins among them."""
+    if not (data >= 0x80).any():
+        return data.astype(np.uint32), offsets
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    out = padded[at]
+    for low, bits in ((0xC0, 0x1F), (0xE0, 0x0F), (0xF0, 0x07)):
+        long = np.flatnonzero(padded[at] >= low)
+        if len(long):  # one byte more than those before, so these start anew with fewer bits of the first
+            more = {0xC0: 1, 0xE0: 2, 0xF0: 3}[low]
+            value = padded[at[long]] & bits
+            for k in range(1, more + 1):
+                value = (value << np.uint32(6)) | (padded[at[long] + k] & 0x3F)
+            out[long] = value
+    return out, np.searchsorted(at, offsets)
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By character up to U+FFFF: its lower case, whether it is a letter, and whether it is one or a mark that goes with one."""
+    every = [chr(i) for i in range(1 << 16)]
+    low = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in every], np.uint32)
+    kinds = [unicodedata.category(c)[0] for c in every]
+    return low, np.array([k == "L" for k in kinds]), np.array([k in "LM" for k in kinds])
+
+
+def letters(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower case, is a letter, is a letter or mark) of characters; beyond U+FFFF case is kept."""
+    low, letter, part = _characters()
+    near = np.minimum(points, 0xFFFF)
+    low, letter, part = low[near], letter[near], part[near]
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        some, back = np.unique(points[far], return_inverse=True)
+        kinds = [unicodedata.category(chr(c))[0] for c in some.tolist()]
+        low[far] = points[far]
+        letter[far] = np.array([k == "L" for k in kinds])[back]
+        part[far] = np.array([k in "LM" for k in kinds])[back]
+    return low, letter, part
+
+
 def script_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words() of letters and digits, where each character from U+0800 on is a word of its own, as scripts without spaces are
     there; marks of U+2000 to U+206F and U+3000 to U+303F part words and are none."""
