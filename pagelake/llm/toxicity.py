@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,6 @@ FEATURES, SAMPLE_ROWS = 1 << 20, 12_000
 ROUNDS, LEAST_Z, PENALTY, STEPS = 12, 6.0, 1e-5, 300
 #: Probability of any grade above 0 from which a document is flagged.
 FLAG = 0.5
-
-
 #: Bytes of the word beginnings that are features beside whole words: stems carry many endings.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -50,21 +49,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of P(grade > k) = sigmoid(w.x - t[k]).
+def fit(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray, levels: int, width: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of P(grade > k) = sigmoid(w.x - t[k]); feats are below `width`.
 
     Words that only come with toxic documents by being in copies of one are many, and words that make them toxic are few.
     So words are let in stagewise: of those that speak most for the grades that the model so far leaves open. Words that speak for
     clean texts stay out, so a text that has none of them isn't toxic for that."""
     n = len(y)
-    inside = np.zeros(FEATURES, bool)
-    w, t = np.zeros(FEATURES), _logit(_shares(y, levels))
+    inside = np.zeros(width, bool)
+    w, t = np.zeros(width), _logit(_shares(y, levels))
     for _ in range(ROUNDS):
         eta = np.bincount(rows, w[feats] * values, n)
         p = _sigmoid(eta[:, None] - t[None])
         open_part = ((y[:, None] > np.arange(levels - 1)) - p).sum(1)
-        told = np.bincount(feats, open_part[rows] * values, FEATURES)
-        spread = np.bincount(feats, np.maximum((p * (1 - p)).sum(1), 0.01)[rows] * values**2, FEATURES)
+        told = np.bincount(feats, open_part[rows] * values, width)
+        spread = np.bincount(feats, np.maximum((p * (1 - p)).sum(1), 0.01)[rows] * values**2, width)
         z = np.where(inside, 0.0, told / np.sqrt(np.maximum(spread, 1e-9)))
         new = z >= max(LEAST_Z, z.max() / 2)
         if not new.any():
@@ -73,7 +72,7 @@ def fit(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray,
         mine = inside[feats]
         used, local = np.unique(feats[mine], return_inverse=True)
         beta, t = _descend(rows[mine], local, values[mine], y, levels, w[used])
-        w = np.zeros(FEATURES)
+        w = np.zeros(width)
         w[used] = beta
     return w, t
 
@@ -115,8 +114,21 @@ def _descend(rows: np.ndarray, local: np.ndarray, values: np.ndarray, y: np.ndar
     return params[:m], np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
 
 
-def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The model, from a bounded sample of the labelled rows, whose ids go to every executor. Grades count by their order; without two of them, 0 among them, it finds nothing toxic."""
+class Model(NamedTuple):
+    """Weights of the features `used`, thresholds, and the grades that these part; all but the weights ascend."""
+
+    weights: np.ndarray
+    thresholds: np.ndarray
+    used: np.ndarray
+    grades: np.ndarray
+
+
+#: Of documents where nothing could be learned: no grade but 0.
+NOTHING = Model(np.zeros(0, np.float32), np.zeros(0), np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+
+def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model, from a bounded sample of the labelled rows, whose ids go to every executor. Any two grades or more will do; with fewer nothing can be learned, and all documents have grade 0."""
     ship(docs.sparkSession)
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("long").alias("grade"))
@@ -129,33 +141,38 @@ def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("grade").slice(lo, hi - lo), pa.array([f[a:z].astype("<i4").tobytes() for a, z in zip(upto[:-1], upto[1:], strict=True)], pa.binary()), pa.array([v[a:z].astype("<f4").tobytes() for a, z in zip(upto[:-1], upto[1:], strict=True)], pa.binary())], ["doc_id", "grade", "f", "v"])
 
     got = sorted(rows.mapInArrow(run, "doc_id long, grade long, f binary, v binary").collect(), key=lambda r: (r["doc_id"], r["f"], r["v"]))  # at most sample_rows
-    seen, y = np.unique([r["grade"] for r in got], return_inverse=True)
-    if len(seen) < 2 or seen[0] > 0:
-        return np.zeros(FEATURES, np.float32), np.array([30.0])
+    grades, y = np.unique(np.array([r["grade"] for r in got], np.int64), return_inverse=True)
+    if len(grades) < 2:
+        return NOTHING
     parts = [np.frombuffer(r["f"], "<i4") for r in got]
     r = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     values = np.concatenate([np.frombuffer(r["v"], "<f4") for r in got])
-    feats = np.concatenate(parts).astype(np.int64)
+    seen, feats = np.unique(np.concatenate(parts), return_inverse=True)
     del got, parts  # the driver's memory is small
-    w, t = fit(r, feats, values, y, len(seen))
-    return w.astype(np.float32), t
+    w, t = fit(r, feats, values, y, len(grades), max(1, len(seen)))
+    used = np.flatnonzero(w)
+    return Model(w[used].astype(np.float32), t, seen[used].astype(np.int64), grades)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], flag: float = FLAG) -> DataFrame:
-    """Per document: doc_id, severity (expected grade), grade (the likeliest), p_toxic (any grade above 0), toxic (p_toxic >= flag).
+def score(docs: DataFrame, model: Model, flag: float = FLAG) -> DataFrame:
+    """Per document: doc_id, severity (expected grade), grade (the likeliest; of equal ones the lowest), p_toxic (any grade above 0), toxic (p_toxic >= flag).
 
-    Every word of the whole text counts, and how often it stands; a null or empty text has the grade of no words at all.
+    Every word of the whole text counts, and how often it stands; a null or empty text has the grade of no words at all. Grades are
+    those of the labels, whatever their numbers; severity lies between the lowest and the highest. Repeated rows are scored alike.
     The weights go to the executors once: FEATURES numbers."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    weights = np.zeros(FEATURES, np.float32)
+    weights[model.used] = model.weights
+    shared = docs.sparkSession.sparkContext.broadcast((weights, model.thresholds, model.grades))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, t = shared.value
+        w, t, levels = shared.value
         for b in batches:
             for lo, hi, f, r, v in features(b.column("text")):
                 eta = np.bincount(r, w[f] * v, hi - lo)
-                above = _sigmoid(eta[:, None] - t[None])
-                p = -np.diff(np.concatenate([np.ones((hi - lo, 1)), above, np.zeros((hi - lo, 1))], 1), axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(above.sum(1)), pa.array(p.argmax(1), pa.int32()), pa.array(above[:, 0]), pa.array(above[:, 0] >= flag)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
+                above = np.concatenate([np.ones((hi - lo, 1)), _sigmoid(eta[:, None] - t[None]), np.zeros((hi - lo, 1))], 1)
+                p = -np.diff(above, axis=1)
+                toxic = above[:, np.searchsorted(levels, 0, "right")]  # the first grade above 0, or the end
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(p @ levels.astype(float)), pa.array(levels[p.argmax(1)].astype(np.int32)), pa.array(toxic), pa.array(toxic >= flag)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")

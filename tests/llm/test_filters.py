@@ -1,9 +1,14 @@
+import math
 import random
+import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelake.llm import decontaminate, embedding_dedup, language_id, queries, toxicity, url_filter
 
@@ -243,6 +248,35 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_grams(text):
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    w = re.sub(" +", " ", "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low))
+    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+
+def test_languages_like_plain_naive_bayes(spark):
+    rng = random.Random(4)
+    stock = {"ru": "и снова день ЖИЗНЬ шла", "el": "και μία ΜΕΡΑ άλλη φορά", "zh": "今天 天气 很 好 我们", "en": "the day was long And so", "hi": "यह दिन अच्छा था और"}
+    rows = [(i, " ".join(rng.choices(t.split(), k=8)) + "!", k) for i, (k, t) in enumerate(list(stock.items()) * 40)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    counts = {k: Counter(g for _, t, x in learned if x == k for g in plain_grams(t)) for k in stock}
+    total = {k: sum(c.values()) + 0.5 * language_id.BUCKETS for k, c in counts.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict(df.drop("lang"), language_id.train(language_id.learned_rows(df))).collect()
+    for r in got:  # of a few hundred n-grams none or hardly any share a bucket
+        grams = plain_grams(r["text"])
+        score = {k: sum(math.log((counts[k][g] + 0.5) / total[k]) for g in grams) for k in stock}
+        best = max(score, key=score.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(math.exp(x - score[best]) for x in score.values()), abs=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "'en' AS lang")
+    one = df.union(spark.createDataFrame([(9000, "ein anderer text", "de")], "doc_id long, text string, lang string"))
+    langs, table = language_id.train(one, sample_rows=30)
+    assert langs == ["de", "en"] and np.isfinite(table).all()
+
+
 def test_language_edge_cases(spark):
     rows = [(i, "the cat and the dog", "en", 0) for i in range(9)] + [(20 + i, "le chat et le chien", "fr", 0) for i in range(9)] + [(50, None, "en", 1), (51, "", None, 1), (52, "123 !?", "fr", 1), (53, "the " * 50_000, None, 1), (54, "日本語", None, 1), (None, "le chien", "fr", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
@@ -253,6 +287,7 @@ def test_language_edge_cases(spark):
     empty = df.where("doc_id < 0")
     assert language_id.predict(empty, language_id.train(empty)).count() == 0
     assert {r["lang_pred"] for r in language_id.predict(df.drop("score"), language_id.train(empty)).collect()} == {"und"}
+    df = df.withColumn("lang_pred", F.lit(1)).withColumn("LANG_SCORE", F.lit(2))
     kept = language_id.keep_identified(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} >= {0, 20, 53}
 
@@ -287,6 +322,40 @@ def test_how_often_a_word_stands_counts(spark):
     assert all(r["toxic"] == (r["doc_id"] % 2 == 1) for r in got)
 
 
+@pytest.mark.parametrize("low,high", [(0, 3), (1, 3), (0, 2), (2, 5)])
+def test_grades_are_those_of_the_labels(spark, low, high):
+    texts = ["a fine day it is", "you vile awful fool"]
+    df = spark.createDataFrame([(i, texts[i % 2]) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (low, high)[i % 2]) for i in range(200)], "doc_id long, toxic int")
+    for r in toxicity.score(df, toxicity.train(df, toxicity.grades(labels))).collect():
+        assert r["grade"] == (low, high)[r["doc_id"] % 2] and low <= r["severity"] <= high
+        assert abs(r["severity"] - r["grade"]) < 0.5 and r["toxic"] == (r["grade"] > 0)
+
+
+def test_fit_is_the_most_likely_by_a_plain_count():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (400, 3)) * [1, 1, 1]
+    y = np.digitize(x @ [1.2, 0.8, -1.0] + rng.logistic(size=400), [1.0, 3.0])
+    rows, feats = np.nonzero(x)
+    w, t = toxicity.fit(rows, feats, x[rows, feats].astype(float), y, 3, 3)
+
+    def loss(w, t):
+        total = 0.0
+        for row, grade in zip(x, y, strict=True):
+            up = [1.0] + [1 / (1 + math.exp(k - float(row @ w))) for k in t] + [0.0]
+            total -= math.log(up[grade] - up[grade + 1])
+        return total / len(y) + toxicity.PENALTY / 2 * float(w @ w)
+
+    best = loss(w, t)
+    assert len(t) == 2 and t[0] < t[1] and w.any()
+    for k in np.flatnonzero(w):  # words that speak for lower grades stay out
+        for step in (-0.02, 0.02):
+            assert loss(w + step * (np.arange(3) == k), t) > best - 1e-6
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            assert loss(w, t + step * (np.arange(2) == k)) > best - 1e-6
+
+
 def test_toxicity_edge_cases(spark):
     texts = ["a fine day it is", "you awful fool number", "you vile awful fool"]
     rows = [(i, texts[i % 3], 7) for i in range(300)] + [(1000, None, 7), (1001, "", 7), (1002, "fool " * 100_000, 7), (None, "fool", 7)]
