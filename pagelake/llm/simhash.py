@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, cut, ship
+from .common import connected_components, cut, fresh, ship
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
 #: One-wildcard buckets of up to so many fingerprints are compared pairwise; larger ones are keyed more finely, and so are
@@ -84,6 +85,16 @@ def hamming_links(fps: DataFrame, name: str = "fp") -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp, root (a fingerprint that names its component) and component_id."""
+    fps = cut(fingerprints(docs, id_col, text_col), "fps")
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = connected_components(hamming_links(classes), "lo", "hi").select(F.col("node").alias("fp"), "root")
+    classes = cut(classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    linked = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(classes.join(linked, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -92,23 +103,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     costs one row. A null or empty text has fingerprint zero and links like any other; repeated rows give repeated
     rows; a null doc_id never names a component; an empty table gives none.
     """
-    fps = cut(fingerprints(docs, id_col, text_col), "fps")
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = connected_components(hamming_links(classes), "lo", "hi").select(F.col("node").alias("fp"), "root")
-    classes = cut(classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    linked = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(linked, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """docs and the fingerprint of text in a column `name`."""
+    ship(docs.sparkSession)
+    names = [*docs.columns, name]
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(x.as_py()) for x in b.column(at)], pa.int64())], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates: the one with the smallest doc_id.
+    """docs with one document of each group of near duplicates: the one with the smallest doc_id, of several the one with the smallest fingerprint, then text hash.
 
-    Rows without doc_id stay, as no group can be told for them; of rows that repeat a kept doc_id one stays.
+    Texts of one doc_id that aren't near duplicates are documents of their own. Rows without doc_id stay, as no group
+    can be told for them. Only doc_ids are joined; fingerprints are taken again of rows that share theirs.
     """
-    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id = c").select("doc_id", F.col("n").alias("_copies")), "kept")
-    joined = docs.join(found.hint("merge"), "doc_id")  # decisions grow with the documents: the same plan at every size
-    kept = joined.where("_copies = 1").select(*docs.columns)
-    if not found.where("_copies > 1").isEmpty():
-        kept = kept.union(joined.where("_copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return kept.union(docs.where("doc_id IS NULL"))
+    found = cut(components(docs).where("doc_id IS NOT NULL").select("doc_id", "fp", "root"), "found")
+    leads = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("l")).select(F.col("l.doc_id").alias("id"), F.col("l.fp").alias("lead_fp"))
+    rows = found.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n"))
+    chosen = cut(leads.join(rows, leads["id"] == rows["of"]).select("id", "lead_fp", "n"), "chosen")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = chosen.where("n = 1").select("id").hint("merge")  # decisions grow with the documents: the same plan at every size
+    kept = docs.join(single, docs["doc_id"] == single["id"], "left_semi").union(docs.where("doc_id IS NULL"))
+    several = chosen.where("n > 1")
+    if several.isEmpty():
+        return kept
+    shared = several.select("id").distinct()
+    fp, mark = fresh(docs, "fp_of_row"), fresh(docs, "text_hash")
+    some = with_fingerprint(docs.join(shared, docs["doc_id"] == shared["id"], "left_semi"), fp)
+    some = some.join(several, (some["doc_id"] == several["id"]) & (some[fp] == several["lead_fp"]), "left_semi").withColumn(mark, F.xxhash64("text"))
+    least = some.groupBy(F.col("doc_id").alias("least_id"), F.col(fp).alias("least_fp")).agg(F.min(mark).alias("least_mark"))
+    some = some.join(least, (some["doc_id"] == least["least_id"]) & (some[fp] == least["least_fp"]) & (some[mark] == least["least_mark"]), "left_semi")
+    return kept.union(some.dropDuplicates(["doc_id", fp]).select(*own))

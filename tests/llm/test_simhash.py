@@ -109,6 +109,16 @@ def test_edge_cases(spark):
     assert simhash.fingerprint(long) != 0
 
 
+def test_texts_of_one_id_and_clashing_names(spark):
+    schema = "doc_id long, text string, _copies int, id long, n int, FP_OF_ROW int, text_hash string, least_id long"
+    texts = [(3, "alpha beta gamma delta"), (3, "something quite other here now"), (3, "alpha beta gamma delta"), (3, "ALPHA beta gamma delta"), (5, "alpha beta gamma delta"), (7, "one more text that stands alone"), (2, "something quite other here now"), (None, "alpha beta gamma delta")]
+    docs = spark.createDataFrame([(i, t, k, 1, 1, 1, "h", 1) for k, (i, t) in enumerate(texts)], schema)
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    left = sorted((r["doc_id"] or -1, r["text"].lower()) for r in got.collect())
+    assert left == [(-1, "alpha beta gamma delta"), (2, "something quite other here now"), (3, "alpha beta gamma delta"), (7, "one more text that stands alone")]
+
+
 def test_crowded_segments(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 20)
     monkeypatch.setattr(simhash, "PAIRWISE", 4)
