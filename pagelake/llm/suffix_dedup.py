@@ -9,8 +9,9 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, ship
+from .common import cut, fresh, ship
 from .text import BYTE_BASE, U64, WORD_BASE, hash_spans, mix, ngram_hashes, pieces, row_bounds, words
 
 #: A passage of so many words or more counts as repeated.
@@ -21,6 +22,8 @@ GRAM, WINDOW = 5, 24
 RIGHT = MIN_WORDS - WINDOW + 1
 #: Words before a position and beyond its first RIGHT that are kept for extending a match.
 REACH = WINDOW
+#: A class with this share of all suffixes or more is joined by broadcast: there are 1 / HOT_SHARE of them at most.
+HOT_SHARE = 0.001
 
 
 def anchors(word_hashes: np.ndarray) -> np.ndarray:
@@ -91,33 +94,60 @@ def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return docs.join(marked.hint("merge"), "doc_id").select("doc_id", "text", "at").mapInArrow(run, "key long, near binary, far binary, doc_id long, pos int")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many first codes two rows share; zero stands for no word."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(1), same.shape[1], same.argmin(1))
-
-
 _SPANS = "doc_id long, from long, upto long, other_doc long, other_from long"
+#: Suffixes compared in memory at a time, and of one key the most that are; more are compared over the cluster.
+AT_ONCE, LONGEST_RUN = 8192, 1 << 16
 
 
-def _spans(doc, pos, near, far, doc2, pos2, near2, far2) -> list[np.ndarray]:
-    """Spans of the later of each pair of suffixes, as extended left and right: doc, from, upto, the earlier doc and where its copy begins."""
-    left, right = _common(near, near2), _common(far, far2)
-    later = (doc > doc2) | ((doc == doc2) & (pos > pos2))
-    d, p = np.where(later, doc, doc2), np.where(later, pos, pos2)
-    d2, p2 = np.where(later, doc2, doc), np.where(later, pos2, pos)
-    ok = (left + RIGHT + right >= MIN_WORDS) & ((d != d2) | (p != p2))
-    return [x[ok] for x in (d, p - left, p + RIGHT + right, d2, p2 - left)]
+def _shared(key: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """How many first codes each row shares with the row before it, of rows in order by key and codes; -1 where the key is another. Zero stands for no word."""
+    same = (codes[1:] == codes[:-1]) & (codes[1:] != 0)
+    many = np.where(same.all(1), codes.shape[1], same.argmin(1))
+    return np.concatenate([[-1], np.where(key[1:] == key[:-1], many, -1)])
 
 
-#: Suffixes compared in memory at a time, and of one key the most that are; more are compared over the cluster.
-AT_ONCE, LONGEST_RUN = 8192, 1 << 16
+def _raw(codes: np.ndarray) -> np.ndarray:
+    """Rows of codes as bytes that sort as the codes do."""
+    return np.ascontiguousarray(codes.astype(">u4")).view(f"S{4 * codes.shape[1]}").ravel()
 
 
-def _pairs(key, doc, pos, near, far) -> list[np.ndarray]:
-    """Spans of neighbours in suffix order that have equal first words and are the only two: each is extended left and right."""
-    same = np.flatnonzero(key[1:] == key[:-1])
-    return _spans(doc[same + 1], pos[same + 1], near[same + 1], far[same + 1], doc[same], pos[same], near[same], far[same])
+def _extended(key, doc, pos, near, far) -> list[np.ndarray]:
+    """Spans of the later of suffixes with equal first words, extended left and right: doc, from, upto, the earliest doc and where its copy begins.
+
+    Rows come by key, then by what follows to the right, or, seen from the left end, by what stands before: in either order a row's
+    neighbours share most with it on that side, and rows that share m words or more are runs between neighbours that share fewer. A
+    passage of MIN_WORDS words that begins o words before a suffix is shared by those in one run on both sides, of o
+    words to the left and the rest to the right."""
+    order = np.lexsort((pos, doc, key))
+    again = np.flatnonzero((key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (pos[order][1:] == pos[order][:-1])) + 1
+    if len(again):  # of a document whose row is repeated
+        key, doc, pos, near, far = (np.delete(x, order[again], 0) for x in (key, doc, pos, near, far))
+    n, more = len(key), MIN_WORDS - RIGHT
+    runs = []
+    for codes in (near, far):
+        order = np.lexsort((_raw(codes), key))
+        many, back = _shared(key[order], codes[order]), np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        starts = many[:, None] < np.arange(more + 1)  # by words shared: where a run begins
+        runs.append(np.cumsum(starts, 0)[back])
+    has = [np.concatenate([np.ones((n, 1), bool), codes[:, :more] != 0], 1) for codes in (near, far)]
+    order = np.lexsort((pos, doc))
+    first = np.full((n, more + 1), -1)
+    for o in range(more + 1):
+        rows = order[(has[0][:, o] & has[1][:, more - o])[order]]
+        both = runs[0][rows, o] * (n + 1) + runs[1][rows, more - o]
+        by = np.argsort(both, kind="stable")
+        rows, both = rows[by], both[by]
+        new = np.concatenate([[True], both[1:] != both[:-1]]) if len(rows) else np.zeros(0, bool)
+        lead = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))] if len(rows) else rows
+        first[rows[~new], o] = lead[~new]
+    later = first >= 0
+    ends = later & ~np.concatenate([later[:, 1:], np.zeros((n, 1), bool)], 1)  # the largest offset of a run: where its span begins
+    starts = later & ~np.concatenate([np.zeros((n, 1), bool), later[:, :-1]], 1)
+    r, high = np.nonzero(ends)
+    _, low = np.nonzero(starts)
+    other = first[r, high]
+    return [doc[r], pos[r] - high, pos[r] - low + MIN_WORDS, doc[other], pos[other] - high]
 
 
 def _window_keys(key, near, far) -> tuple[np.ndarray, np.ndarray]:
@@ -135,28 +165,6 @@ def _window_keys(key, near, far) -> tuple[np.ndarray, np.ndarray]:
     return h, has_left & has_right[:, ::-1]
 
 
-def _classes(key, doc, pos, near, far) -> list[np.ndarray]:
-    """Spans of suffixes of which three or more share their first words: there a neighbour need not share most on both sides, so all windows are compared."""
-    order = np.lexsort((pos, doc))
-    key, doc, pos, near, far = key[order], doc[order], pos[order], near[order], far[order]
-    h, ok = _window_keys(key, near, far)
-    n, width = h.shape
-    first = np.full((n, width + 1), -1)
-    for o in range(width):
-        rows = np.flatnonzero(ok[:, o])
-        by = rows[np.argsort(h[rows, o], kind="stable")]
-        equal = np.concatenate([[False], h[by[1:], o] == h[by[:-1], o]]) if len(by) else np.zeros(0, bool)
-        lead = by[np.maximum.accumulate(np.where(equal, 0, np.arange(len(by))))] if len(by) else by
-        first[by[equal], o] = lead[equal]
-    later = first >= 0
-    ends = later & ~np.concatenate([later[:, 1:], np.zeros((n, 1), bool)], 1)  # the largest offset of a run: where its span begins
-    starts = later & ~np.concatenate([np.zeros((n, 1), bool), later[:, :-1]], 1)
-    r, high = np.nonzero(ends)
-    _, low = np.nonzero(starts)
-    other = first[r, high]
-    return [doc[r], pos[r] - high, pos[r] - low + MIN_WORDS, doc[other], pos[other] - high]
-
-
 def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
     rows = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "pos")]
     return rows + [np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(len(b), REACH).astype(np.uint32) for c in ("near", "far")]
@@ -166,22 +174,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans from rows in suffix order, some thousand at a time, always whole runs of equal first words: no run goes on in another partition."""
     held: list[np.ndarray] | None = None
 
-    def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, run, size = np.unique(rows[0], return_inverse=True, return_counts=True)
-        many = size[run] > 2
-        for compare, mine in ((_pairs, ~many), (_classes, many)):
-            if mine.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(*(x[mine] for x in rows))], ["doc_id", "from", "upto", "other_doc", "other_from"])
+    def settle(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _extended(*rows)], ["doc_id", "from", "upto", "other_doc", "other_from"])
 
     for b in batches:
         if len(b):
             held = _columns(b) if held is None else [np.concatenate(x) for x in zip(held, _columns(b), strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last >= AT_ONCE:
-                yield from settle([x[:last] for x in held])
+                yield settle([x[:last] for x in held])
                 held = [x[last:] for x in held]
     if held is not None:
-        yield from settle(held)
+        yield settle(held)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,28 +206,62 @@ def _over_the_cluster(rows: DataFrame) -> DataFrame:
     return met.select(F.col("doc").alias("doc_id"), F.col("start").alias("from"), (F.col("start") + MIN_WORDS).alias("upto"), F.col("doc2").alias("other_doc"), F.col("start2").alias("other_from"))
 
 
+def _apart(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a number for each document in a column `name`, and the table (row, of) of the doc_ids of numbers that are none themselves.
+
+    The number is the doc_id; texts of one doc_id that differ have numbers beyond all doc_ids, by which each is a document of its own."""
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("of"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    shared = cut(texts.groupBy("of").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("of"), "shared_ids")
+    if shared.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), None
+    low, high = texts.agg(F.min("of"), F.max("of")).first()
+    if max(-low, high) >= 1 << 62:
+        raise ValueError("documents that share a doc_id need doc_ids within 62 bits")
+    numbers = texts.join(shared, "of", "left_semi").distinct().select("of", F.col("h").alias("text_hash"), (F.monotonically_increasing_id() + high + 1).alias("row"))
+    numbers = cut(numbers, "numbers")
+    same = (docs["doc_id"].cast("long") == numbers["of"]) & (F.xxhash64(docs["text"].cast("string")) == numbers["text_hash"])
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    return docs.join(numbers, same, "left").select(*own, F.coalesce(numbers["row"], docs["doc_id"].cast("long")).alias(name)), numbers.select("row", "of")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeated passages: doc_id, first_word, n_words, copy_of (doc_id of an earlier copy), copy_first_word.
 
     Words are runs of anything but ASCII white space. A passage of MIN_WORDS words or more that stands earlier too, in
     a document of smaller doc_id or further up in the same one, is reported where it stands later; passages of one document that touch
-    are joined, and then copy_of is the earlier document of the first of them. So removing what is reported leaves
+    are joined, and then copy_of is the earliest document of the first of them. So removing what is reported leaves
     each passage once. Suffixes are retained at minimiser positions, and those whose first RIGHT words occur once are
     dropped after a count. Suffixes that agree in all words within REACH are one class: all but the first of it are reported at
     once. The first suffixes of classes are sorted over the cluster, by their first words, then the words before and after;
-    neighbours of equal first words are compared, and matches are extended left and right. Where three or more meet, all windows of
-    MIN_WORDS words around them are compared: in memory, or over the cluster by their keys where more than LONGEST_RUN suffixes meet, so
-    that no task holds more of one passage. Rows without doc_id or text take no part. Documents of equal doc_id count as
-    copies of each other only by the place in the text, so doc_ids should be unique. The first pass over the texts runs twice,
+    neighbours of equal first words are compared and extended left and right, all runs of them alike. Where more than LONGEST_RUN meet in
+    one run, the windows of MIN_WORDS words around them are compared over the cluster by their keys, with the same result, so that no task
+    holds more of one passage. Rows without doc_id or text take no part, and rows that repeat both a doc_id and its text count once.
+    Different texts of one doc_id are documents of their own, later than all others. The first pass over the texts runs twice,
     as keeping its rows costs more disk than the count needs.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    numbered, names = _apart(docs, "row")
+    one = _repeats(numbered.select(F.col("row").alias("doc_id"), "text"))
+    if names is None:
+        return one
+    for c in ("doc_id", "copy_of"):
+        renamed = names.select(F.col("row").alias("_row"), F.col("of").alias("_of"))
+        one = one.join(renamed, one[c] == renamed["_row"], "left").withColumn(c, F.coalesce("_of", c)).drop("_row", "_of")
+    return one
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """repeats() of documents whose doc_id tells them apart."""
     often = cut(suffixes(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     kept = cut(suffixes(docs).join(often, "key", "left_semi"), "suffixes")
     classes = cut(kept.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("f")).select("key", "whole", "n", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos")), "classes")
-    firsts = classes.where("n > 1").select("key", "whole", F.col("doc_id").alias("doc2"), F.col("pos").alias("pos2"))
-    equal = kept.where(F.col("before") + RIGHT + F.col("after") >= MIN_WORDS).join(firsts, ["key", "whole"]).where("doc_id != doc2 OR pos != pos2")
+    firsts = classes.where("n > 1").select("key", "whole", "n", F.col("doc_id").alias("doc2"), F.col("pos").alias("pos2"))
+    hot = float(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * HOT_SHARE
+    long = kept.where(F.col("before") + RIGHT + F.col("after") >= MIN_WORDS)
+    many = F.broadcast(firsts.where(F.col("n") >= hot))
+    equal = long.join(many, ["key", "whole"]).unionByName(long.join(many.select("key", "whole"), ["key", "whole"], "left_anti").join(firsts.where(F.col("n") < hot), ["key", "whole"]))
+    equal = equal.where("doc_id != doc2 OR pos != pos2")
     equal = equal.select("doc_id", (F.col("pos") - F.col("before")).cast("long").alias("from"), (F.col("pos") + RIGHT + F.col("after")).cast("long").alias("upto"), F.col("doc2").alias("other_doc"), (F.col("pos2") - F.col("before")).cast("long").alias("other_from"))
     shared = cut(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     marked = classes.join(shared.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
@@ -235,38 +273,41 @@ def repeats(docs: DataFrame) -> DataFrame:
         rows = rows.join(crowded, "key", "left_anti").select(*rows.columns)
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "near", "far", "doc_id", "pos")
     spans = spans.union(ordered.mapInArrow(_neighbours, _SPANS))
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "upto", "other_doc", "other_from"))).alias("spans"))
-    joined = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<from:long,upto:long,other_doc:long,other_from:long>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["from"] <= F.element_at(acc, -1)["upto"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.element_at(acc, -1).withField("upto", F.greatest(F.element_at(acc, -1)["upto"], x["upto"])))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    one = by_doc.select("doc_id", F.explode(joined).alias("s"))
-    return one.select("doc_id", F.col("s.from").alias("first_word"), (F.col("s.upto") - F.col("s.from")).alias("n_words"), F.col("s.other_doc").alias("copy_of"), F.col("s.other_from").alias("copy_first_word"))
+    # spans that touch are one: a new one begins beyond the end of all before it
+    each = spans.groupBy("doc_id", "from").agg(F.max("upto").alias("upto"), F.min(F.struct("upto", "other_doc", "other_from")).alias("other"))
+    order = Window.partitionBy("doc_id").orderBy("from")
+    before = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("begins", F.when(F.col("from") <= before, 0).otherwise(1)).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = each.groupBy("doc_id", "run").agg(F.min("from").alias("first_word"), F.max("upto").alias("upto"), F.min(F.struct("from", "other")).alias("o"))
+    return one.select("doc_id", "first_word", (F.col("upto") - F.col("first_word")).alias("n_words"), F.col("o.other.other_doc").alias("copy_of"), F.col("o.other.other_from").alias("copy_first_word"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the reported passages; n_chars follows the text. A document of which no word is left goes."""
-    spans = cut(repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cut")), "cuts")
-    joined = docs.join(spans.hint("merge"), "doc_id", "left")  # spans grow with the documents: the same plan at every size
-    whole = joined.where("_cut IS NULL").select(*docs.columns)
+    """docs without the reported passages; n_chars follows the text. A document of which no word is left goes.
+
+    Rows that repeat a doc_id and its text are cut alike; different texts of one doc_id are documents of their own."""
+    ship(docs.sparkSession)
+    row, cuts = fresh(docs, "row_number"), fresh(docs, "cuts")
+    numbered, _ = _apart(docs, row)
+    usable = numbered.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans = cut(_repeats(usable).groupBy(F.col("doc_id").alias(row)).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(cuts)), "cuts")
+    joined = numbered.join(spans.hint("merge"), row, "left")  # spans grow with the documents: the same plan at every size
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    whole = joined.where(F.col(cuts).isNull()).select(*own)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, keep = [], []
-            cuts = b.column(len(names)).to_pylist()
+            every = b.column(len(names)).to_pylist()
             for lo, hi, data, offsets in pieces(b.column(at)):
                 s, e, rows = words(data, offsets)
                 bounds = row_bounds(rows, hi - lo)
                 for r in range(hi - lo):
                     raw = data[offsets[r] : offsets[r + 1]].tobytes()
                     parts, upto = [], 0
-                    for c in cuts[lo + r]:
+                    for c in every[lo + r]:
                         first = bounds[r] + c["first_word"]
                         parts.append(raw[upto : s[first] - offsets[r]])
                         upto = int(e[first + c["n_words"] - 1] - offsets[r])
@@ -279,4 +320,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns[chars] = pa.array([len(x) for x in out]).cast(columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return whole.union(joined.where("_cut IS NOT NULL").select(*docs.columns, "_cut").mapInArrow(run, docs.schema))
+    return whole.union(joined.where(F.col(cuts).isNotNull()).select(*own, cuts).mapInArrow(run, docs.schema))

@@ -98,6 +98,33 @@ def test_edge_cases(spark):
     assert got[None]["text"] == w and got[1]["text"] == w
 
 
+def test_texts_of_one_id_and_clashing_names(spark):
+    w = " ".join(f"k{i}" for i in range(70))
+    v = " ".join(f"m{i}" for i in range(60))
+    rows = [(1, w, 0, 0, 0, 0), (1, "short", 0, 0, 0, 1), (1, w, 0, 0, 0, 2), (2, "a " + v, 0, 0, 0, 3), (2, "b b " + v + " " + w, 0, 0, 0, 4), (3, v, 0, 0, 0, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cut int, row_number int, CUTS int, n int")
+    left = S.remove_repeats(docs)
+    assert left.columns == docs.columns
+    got = {r["n"]: r["text"].split() for r in left.collect()}
+    assert got[1] == ["short"]
+    # rows 0 and 2 are one document; of the three copies of each passage one stays
+    kept_w = [n for n in (0, 2, 4) if n in got and "k5" in got[n]]
+    assert kept_w in ([0, 2], [4]) and sum("m5" in x for x in got.values()) == 1
+    found = S.repeats(docs).collect()
+    assert found and {r["doc_id"] for r in found} <= {1, 2, 3} and {r["copy_of"] for r in found} <= {1, 2, 3}
+
+
+def test_runs_of_many_suffixes_like_brute_force(spark):
+    rng = random.Random(11)
+    core = [f"c{i}" for i in range(60)]
+    texts = {}
+    for d in range(150):  # copies that begin and end at different words of one passage, among few words
+        a, z = rng.randrange(0, 12), rng.randrange(48, 61)
+        texts[d] = " ".join([rng.choice("xy") for _ in range(rng.randrange(0, 4))] + core[a:z] + [rng.choice("xy") for _ in range(rng.randrange(0, 30))])
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in texts.items()], DOCS).repartition(3)
+    assert dict(words_found(S.repeats(df).collect())) == {d: x for d, x in brute(texts).items() if x}
+
+
 def test_anchors_stand_in_every_window():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 500).astype(np.uint64)
