@@ -48,7 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which clear_scratch() deletes."""
+    path = f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +60,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # type: ignore[attr-defined]
-    _written.append(path)
     return out
 
 
@@ -82,17 +84,24 @@ def discard(df: DataFrame) -> None:
         _written.remove(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all tables that cut() has made, once the results that read them are written."""
-    while _written:
-        _delete(spark, _written.pop())
+def scratch_paths() -> list[str]:
+    """Paths that were given out and not deleted yet."""
+    return list(_written)
+
+
+def clear_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these paths, or all that were given out, once the results that read them are written."""
+    for path in list(_written) if paths is None else paths:
+        _delete(spark, path)
+        _written.remove(path)
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that stands in an edge; root is the smallest node reachable.
 
     Alternates the large-star and small-star steps; every round is written to the shared folder, so the
-    plan stays short. A hub's rows are spread by the joins, and minima combine before the shuffle.
+    plan stays short. Minima combine before the shuffle. The rows of a hub meet the one row of its minimum in a join, which Spark
+    broadcasts where the minima are few and splits where a partition is skewed (AQE).
     """
     pair = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = cut(pair.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")

@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import cut, ship
+from .common import cut, fresh, ship
 from .tokens import tokenizer, with_end
 
 CAPACITY = 4096
-#: Rounds of exchange at most, and pieces that one task packs at once, about.
-MAX_ROUNDS, PIECES_A_TASK = 6, 1 << 18
+#: Pieces that a task packs at once, at most, and the share of all sequences that a round of exchange must save to be followed by another.
+PIECES_AT_ONCE, LEAST_SAVED = 1 << 18, 1e-4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document: its place among the document's ids, its length and its checksum.
 
-    A document is its ids and the end id; only one of more than `capacity` ids is cut. A null text is empty."""
+    A document is its ids and the end id; only one of more than `capacity` ids is cut. A null text is empty. Repeated rows give
+    repeated pieces, and a null doc_id is kept. Texts are encoded whole, however long: one at a time beyond some MB."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,40 +96,64 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return np.array(bins, np.int64), np.array(offsets, np.int64), np.array(gaps, np.int64)
 
 
+@dataclass(frozen=True)
+class Certificate:
+    """Sequences that were made, and the number below which no packing of the same pieces can go."""
+
+    sequences: int
+    least: int
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """items (with length, and doc_id and piece to tell them apart) and, for each, sequence_id and offset.
 
-    Each partition packs its pieces best-fit decreasing and holds its number of bins against the lower bound of its
-    lengths. Where they are equal the partition is certified and gives up only its emptiest bin; any other gives
-    up all bins with gaps. What was given up is dealt out anew, in tasks of about PIECES_A_TASK pieces, and packed again, until
-    the total is the lower bound of all lengths, one task has packed all that is left, or a round has saved nothing. The
+    Each task packs its pieces best-fit decreasing, PIECES_AT_ONCE together, and holds its number of bins against the lower
+    bound of their lengths. Where they are equal it is certified and gives up only its emptiest bin; any other gives
+    up all bins with gaps. What was given up is dealt out anew and packed again, until the total is the lower bound of all
+    lengths, one task has packed all that is left, or a round has saved less than LEAST_SAVED of the sequences. The table that
+    is returned has a Certificate in its attribute `certificate`, which tells how near to the bound it came. The
     pieces of a task are a few numbers each, and their order before packing follows from the rows alone, so a lost task
-    gives the same again. Pieces must have 1 to `capacity` ids. An empty table gives no rows.
+    gives the same again; equal lengths go by doc_id and piece. Pieces must have 1 to `capacity` ids. Columns sequence_id and offset that
+    items has are replaced. An empty table gives no rows.
     """
     spark = items.sparkSession
     ship(spark)
-    fields = [f"{n} {t}" for n, t in items.dtypes]
+    items = items.select(*[F.col(f"`{c}`") for c in items.columns if c.lower() not in ("sequence_id", "offset")])
+    own = fresh(items, "settled")
     names = items.columns
-    out_schema = ", ".join([*fields, "sequence_id long", "offset long", "settled boolean"])
+    out_schema = StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField(own, BooleanType())])
 
     def packer(this_round: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            got = list(batches)
-            if not got or not sum(len(b) for b in got):
-                return
-            t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-            lengths = t.column("length").to_numpy().astype(np.int64)
-            bins, offsets, gaps = best_fit(lengths, capacity)
-            certified = len(gaps) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-            give = gaps > 0
-            if certified:
-                give = np.zeros(len(gaps), bool)
-                give[np.argmax(gaps)] = gaps.max() > 0
             at = (this_round << 56) + (TaskContext.get().partitionId() << 34)
-            t = t.append_column("sequence_id", pa.array(bins + at)).append_column("offset", pa.array(offsets)).append_column("settled", pa.array(~give[bins]))
-            yield from t.to_batches(max_chunksize=1 << 16)
+
+            def packed(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                nonlocal at
+                t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+                lengths = t.column("length").to_numpy().astype(np.int64)
+                bins, offsets, gaps = best_fit(lengths, capacity)
+                certified = len(gaps) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+                give = gaps > 0
+                if certified:
+                    give = np.zeros(len(gaps), bool)
+                    give[np.argmax(gaps)] = gaps.max() > 0
+                t = t.append_column("sequence_id", pa.array(bins + at)).append_column("offset", pa.array(offsets)).append_column(own, pa.array(~give[bins]))
+                at += len(gaps)
+                yield from t.to_batches(max_chunksize=1 << 16)
+
+            got: list[pa.RecordBatch] = []
+            held = 0
+            for b in batches:
+                if len(b):
+                    got.append(b)
+                    held += len(b)
+                if held >= PIECES_AT_ONCE:
+                    yield from packed(got)
+                    got, held = [], 0
+            if got:
+                yield from packed(got)
 
         return run
 
@@ -135,21 +162,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[r["length"]] = r["count"]
     least = lower_bound(counts, capacity)
     done, rest = None, items
-    settled, before, parts = 0, 0, 0
-    for k in range(MAX_ROUNDS):
+    settled, before, parts, k = 0, 0, 0, 0
+    while True:
         if parts:
             rest = rest.repartition(parts, F.xxhash64("sequence_id", F.lit(k)))
         state = cut(rest.select(*names).mapInArrow(packer(k), out_schema), "packed")
-        free = ~F.col("settled")
-        bins, loose, pieces_left = state.groupBy("sequence_id", "settled").agg(F.count("*").alias("n")).agg(F.count("*"), F.count_if(free), F.coalesce(F.sum(F.when(free, F.col("n"))), F.lit(0))).first()
-        stop = not loose or settled + bins <= least or parts == 1 or k == MAX_ROUNDS - 1 or (k > 0 and bins >= before)
-        kept = state if stop else state.where("settled")
+        free = ~F.col(own)
+        bins, loose, pieces_left = state.groupBy("sequence_id", own).agg(F.count("*").alias("n")).agg(F.count("*"), F.count_if(free), F.coalesce(F.sum(F.when(free, F.col("n"))), F.lit(0))).first()
+        total = settled + bins
+        stop = not loose or total <= least or parts == 1 or (k > 0 and before - bins <= LEAST_SAVED * total)
+        kept = state if stop else state.where(F.col(own))
         done = kept if done is None else done.union(kept)
         if stop:
             break
         settled, before, rest = settled + bins - loose, loose, state.where(free)
-        parts = -(-pieces_left // PIECES_A_TASK)
-    return done.select(*names, "sequence_id", "offset")
+        parts = -(-pieces_left // PIECES_AT_ONCE)
+        k += 1
+    out = done.select(*names, "sequence_id", "offset")
+    out.certificate = Certificate(total, least)  # type: ignore[attr-defined]
+    return out
 
 
-__all__ = ["best_fit", "lower_bound", "pack", "pieces"]
+__all__ = ["Certificate", "best_fit", "lower_bound", "pack", "pieces"]

@@ -9,25 +9,20 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embedding_dedup, language_id, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
 from .common import cut, scratch
+from .tokens import public_path as vocabulary  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
-    token_files.write(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), 2)
+    token_files.write(_table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", 2)
     return token_files.read(spark, path)
 
 
@@ -36,7 +31,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = cut(packing.pieces(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1), "pieces")
+    items = cut(packing.pieces(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 1), "pieces")
     return packing.pack(items)
 
 

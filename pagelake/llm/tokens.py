@@ -3,7 +3,8 @@
 Both vocabularies here split a text into words before they merge, and a word's ids don't depend on its neighbours.
 So a batch is cut into words by numpy over its bytes, each distinct word is encoded once by the library and its ids
 are kept. The cut is only made for texts of ASCII and of the letters U+00C0 to U+00FF, whose classes are certain;
-any other text goes to the library whole. 64-bit hashes stand for the words.
+any other text goes to the library whole. A word of up to 16 bytes is told by its length, first and last 8 bytes, a longer one
+by all its bytes, so no two words are ever taken for one.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .text import U64, hash_spans, lower, pieces
+from .text import U64, lower, mix, pieces
 
-#: Entries of a worker's table; when half are taken it starts anew, so its memory is bounded.
-SLOTS = 1 << 22
+#: Places of a worker's table, which starts anew when half are taken, and words looked up at a time: so its memory is bounded and it never overflows.
+SLOTS, FULL, WORDS_AT_ONCE = 1 << 22, 1 << 21, 1 << 20
+#: Bytes that are left of a word of so many.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 _A, _N, _O, _S = 1, 2, 3, 0
 _CLASS = np.full(256, _O, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _A
@@ -116,8 +119,10 @@ class BulkTokenizer:
         self.entry = np.zeros(SLOTS, np.int32)
         self.lens = np.zeros(1024, np.int32)
         self.offs = np.zeros(1024, np.int64)
+        self.told = np.zeros((1024, 3), U64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = self.n_flat = 0
+        self.long: dict[bytes, int] = {}
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -132,22 +137,26 @@ class BulkTokenizer:
             todo, slot = todo[go], (slot[go] + 1) & (SLOTS - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        k = len(h)
+    def append(self, ids: list[list[int]]) -> np.ndarray:
+        """New entries, one for each list of ids."""
+        k = len(ids)
         lens = np.array([len(x) for x in ids], np.int32)
         flat = np.array([y for x in ids for y in x], np.uint32)
         while self.used + k > len(self.lens):
-            self.lens, self.offs = np.concatenate([self.lens, np.zeros_like(self.lens)]), np.concatenate([self.offs, np.zeros_like(self.offs)])
+            self.lens, self.offs, self.told = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lens, self.offs, self.told))
         while self.n_flat + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.lens[self.used : self.used + k] = lens
         self.offs[self.used : self.used + k] = self.n_flat + np.cumsum(lens) - lens
         self.flat[self.n_flat : self.n_flat + len(flat)] = flat
-        entry = np.arange(self.used, self.used + k, dtype=np.int32)
         self.used += k
         self.n_flat += len(flat)
+        return np.arange(self.used - k, self.used, dtype=np.int32)
+
+    def key(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Let entries be found by hashes, which differ and aren't in the table."""
         slot = (h >> U64(42)).astype(np.int64)
-        todo = np.arange(k)
+        todo = np.arange(len(h))
         while len(todo):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[todo[free]]
@@ -186,40 +195,79 @@ class BulkTokenizer:
             yield lo, hi, ids, np.concatenate([[0], np.cumsum(per)])
 
     def _spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each row has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        h = hash_spans(data, starts, ends)
+        ids, lens = [], []
+        for k in range(0, len(starts), WORDS_AT_ONCE):
+            if self.used > FULL - WORDS_AT_ONCE:
+                self.clear()
+            entry = self._entries(data, starts[k : k + WORDS_AT_ONCE], ends[k : k + WORDS_AT_ONCE])
+            many = self.lens[entry].astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(many)])
+            ids.append(self.flat[np.arange(upto[-1]) + np.repeat(self.offs[entry] - upto[:-1], many)])
+            lens.append(many)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
+        return np.concatenate(ids), np.diff(upto[np.searchsorted(starts, offsets)])
+
+    def _entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each word; those of new words are made."""
+        size = ends - starts
+        eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        first = eights[starts] & _MASK[np.minimum(size, 8)]
+        last = np.where(size > 8, eights[np.maximum(ends - 8, 0)], first)
+        h = mix(first * U64(0x9E3779B97F4A7C15) + mix(last + size.astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
         h[h == 0] = U64(1)
+        long = np.flatnonzero(size > 16)
         entry = self.find(h)
         new = np.flatnonzero(entry < 0)
+        if len(new) and len(long):
+            new = new[size[new] <= 16]
         if len(new):
-            fresh, first = np.unique(h[new], return_index=True)
-            if self.used + len(fresh) > SLOTS // 2:
-                self.clear()
-                new = np.arange(len(h))
-                fresh, first = np.unique(h, return_index=True)
-            for k in range(0, len(fresh), 4096):
-                at = new[first[k : k + 4096]]
-                texts = [bytes(data[s:e]).decode("utf-8") for s, e in zip(starts[at], ends[at], strict=True)]
-                got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-                if self.used + len(got) > SLOTS * 7 // 8:
-                    raise MemoryError("one batch has more distinct words than the table holds")
-                self.add(fresh[k : k + 4096], got)
+            fresh, at = np.unique(h[new], return_index=True)
+            made = self._made(data, starts, ends, new[at])
+            self.told[made] = np.stack([size[new[at]].astype(U64), first[new[at]], last[new[at]]], 1)
+            self.key(fresh, made)
             entry[new] = self.find(h[new])
-        lens = self.lens[entry].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        take = np.arange(upto[-1]) + np.repeat(self.offs[entry] - upto[:-1], lens)
-        return self.flat[take], np.diff(upto[np.searchsorted(starts, offsets)])
+        told = self.told[entry]
+        other = np.flatnonzero((told[:, 1] != first) | (told[:, 2] != last) | (told[:, 0] != size.astype(U64)))  # words whose hash is another's
+        if len(other) and len(long):
+            other = other[size[other] <= 16]
+        if len(other):
+            entry[other] = self._made(data, starts, ends, other)
+        if len(long):
+            texts = [data[s:e].tobytes() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            fresh = {t: i for i, t in zip(long.tolist(), texts, strict=True) if t not in self.long}
+            if fresh:
+                made = self._made(data, starts, ends, np.array(list(fresh.values())))
+                self.long.update(zip(fresh, made.tolist(), strict=True))
+            entry[long] = [self.long[t] for t in texts]
+        return entry
+
+    def _made(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """New entries for words, as the library encodes them."""
+        out = []
+        for k in range(0, len(at), 4096):
+            some = at[k : k + 4096]
+            texts = [data[s:e].tobytes().decode("utf-8") for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+            out.append(self.append([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]))
+        return np.concatenate(out)
 
 
 _made: dict[str, BulkTokenizer] = {}
 
 
+def public_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def tokenizer(path: str) -> BulkTokenizer:
-    """This worker's tokenizer for the vocabulary file, made once."""
+    """This worker's tokenizer for the vocabulary, made once: a file's path, or the bare name of one of public_tokenizers, found on this machine."""
     if path not in _made:
         _made.clear()
-        _made[path] = BulkTokenizer(path)
+        _made[path] = BulkTokenizer(path if os.sep in path else public_path(path))
     return _made[path]
 
 

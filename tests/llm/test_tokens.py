@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from pagelake.llm import packing, simple8b, token_files
+from pagelake.llm import packing, simple8b, token_files, tokens
 from pagelake.llm.common import scratch
 from pagelake.llm.queries import vocabulary
 from pagelake.llm.tokens import BulkTokenizer
@@ -31,6 +31,34 @@ def test_bulk_equals_library(name):
     assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("clashing", [False, True])
+def test_words_are_told_apart(monkeypatch, name, clashing):
+    monkeypatch.setattr(tokens, "WORDS_AT_ONCE", 50)
+    if clashing:  # all words under a few hashes
+        monkeypatch.setattr(tokens, "mix", lambda h: h % np.uint64(7) + np.uint64(1))
+    rng = random.Random(2)
+    texts = ["abcdefghZZabcdefgh abcdefghYYabcdefgh abcdefghabcdefgh abcdefgabcdefgh", "a" * 9 + " " + "a" * 10 + " " + "a" * 17 + " " + "a" * 40, "x " * 300]
+    texts += [" ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 30))) for _ in range(60)) for _ in range(20)]
+    own, t = BulkTokenizer(vocabulary(name)), library(name)
+    for _ in range(2):
+        got = []
+        for lo, hi, ids, bounds in own.encode(pa.array(texts, pa.string())):
+            got += [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(hi - lo)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        texts = texts[::-1]
+
+
+def test_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_AT_ONCE", 1000)
+    monkeypatch.setattr(tokens, "FULL", 2000)  # reached within the text
+    own, t = BulkTokenizer(vocabulary("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    text = " ".join(f"{i:x}q" for i in range(5000))
+    for _ in range(2):
+        (_, _, ids, _) = next(own.encode(pa.array([text])))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and own.used <= 2000
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     cases = [np.zeros(0), np.zeros(700), rng.integers(0, 2, 1000), np.array([2**64 - 1, 2**60, 1 << 59, 1, 2**60 - 1, 0, 1 << 60] * 100, np.uint64), rng.integers(0, 50257, 10000), np.arange(257), np.array([1 << 63, 1 << 60])]
@@ -80,6 +108,21 @@ def test_pieces_and_packing(spark):
     assert packing.pack(packing.pieces(spark.createDataFrame([], "doc_id long, text string"), vocabulary("word_bpe_49k.json"), 1)).count() == 0
 
 
+def test_packing_some_pieces_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_AT_ONCE", 40)
+    rng = random.Random(5)
+    rows = [(k % 300, k // 300, 0, rng.choice([rng.randrange(1, 101), rng.randrange(30, 60)]), 1, 5, 7) for k in range(700)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, settled int, offset long, Sequence_ID int").repartition(2)
+    packed = packing.pack(items, 100)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "settled", "sequence_id", "offset"]
+    got = packed.collect()
+    assert sorted((r["doc_id"], r["piece"], r["length"]) for r in got) == sorted((r[0], r[1], r[3]) for r in rows)
+    check_sequences(got, 100)
+    made = len({r["sequence_id"] for r in got})
+    assert packed.certificate.sequences == made >= packed.certificate.least >= sum(r[3] for r in rows) / 100
+    assert made <= packed.certificate.least * 1.05
+
+
 def check_sequences(rows, capacity):
     by = {}
     for r in rows:
