@@ -1,8 +1,8 @@
 """A corpus pipeline over the table documents: STAGES, each written as Parquet and read again for the next.
 
 A null or empty text has no letters, so language ID drops it; rows without doc_id pass near-dedup, suffix-array dedup and
-decontamination as they are, as no group, span or leak can be told for them. Other columns pass through, whatever their names. An
-empty table gives an empty result.
+decontamination as they are, as no group, span or leak can be told for them. Texts of one doc_id that differ are judged apart. Other
+columns pass through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.llm import decontaminate, language_id, packing, simhash, suffix_dedup
-from pagelake.llm.common import cut
-from pagelake.llm.queries import vocabulary
+from pagelake.llm.common import clear_scratch, cut, scratch_paths
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and the sequences that they are packed into."""
-    return packing.pack(cut(packing.pieces(docs, vocabulary("word_bpe_49k.json"), 1), "pieces"))
+    return packing.pack(cut(packing.pieces(docs, "word_bpe_49k.json", 1), "pieces"))
 
 
 STAGES = [
@@ -52,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has written besides its result is deleted when that stands, and so is its predecessor's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = scratch_paths()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs, name)
+            clear_scratch(spark, [p for p in scratch_paths() if p not in before and p != docs.scratch_path])
     return docs
