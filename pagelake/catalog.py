@@ -23,7 +23,7 @@ from .kernels.css_values import PX, compute_custom, substitute
 from .kernels.font import Font
 from .kernels.html_tree import Options, descendants as tree_nodes, dump, parse, parse_fragment
 from .operators import cascade, fonts, media, navigate
-from .operators.select import select, select_by_kernel, specificities
+from .operators.select import select, select_by_kernel, select_from_pages, specificities
 from .session import flat_map
 from .sources import pages as P
 
@@ -330,10 +330,11 @@ _SELECTED = {
 }
 
 
-def _selection(selector: str) -> Callable[[SparkSession, str], DataFrame]:
+def _selection(selector: str, by_joins: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = _pages(spark, sf_dir)
-        found = select(P.parse_nodes(p), selector).groupBy("page_id").agg(F.count("*").alias("n"))
+        found = select(P.parse_nodes(p), selector) if by_joins else select_from_pages(p, selector)
+        found = found.groupBy("page_id").agg(F.count("*").alias("n"))
         return p.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n"))
 
     return run
@@ -341,6 +342,9 @@ def _selection(selector: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _name, (_selector, _count) in _SELECTED.items():
     query(_name, f"SELECT page_id, ({_count})::BIGINT AS n FROM pages")(_selection(_selector))
+for _name in ("o_q10_descendant", "o_q11_child", "o_q12_next", "o_q12_after", "o_q15_nth_of", "o_q16_not_complex", "o_q17_where"):
+    _selector, _count = _SELECTED[_name]
+    query(f"{_name}_by_joins", f"SELECT page_id, ({_count})::BIGINT AS n FROM pages")(_selection(_selector, True))
 
 
 @query("o_s05_kernel_selection", f"SELECT page_id, ({_LI} - 1)::BIGINT AS n FROM pages")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..kernels.css_selectors import NO_CASE, matches_list, parse_selectors, specificity
+from .. import schemas
+from ..kernels.css_selectors import NO_CASE, Index, matches_list, parse_selectors, specificity
 from ..kernels.html_lexer import ascii_lower
+from ..kernels.html_tree import Options, descendants, parse
 from ..session import flat_map
 from .navigate import KEY, nth_matches
 
@@ -154,11 +156,41 @@ def select(nodes: DataFrame, selector: str, tree_root: int | None = 0) -> DataFr
     return _matching(e, parsed)
 
 
+def needs_joins(selectors: list) -> bool:
+    """Whether some selector of a list is more than a predicate on a row of nodes."""
+    return any(rest or _compound_predicate(compound) is None for compound, rest in selectors)
+
+
+def select_from_pages(pages: DataFrame, selector: str, options: Options | None = None, columns: list[str] | None = None) -> DataFrame:
+    """What select() finds in pages of page_id, html, from one pass over them and without a shuffle.
+
+    A list of plain predicates is a filter on parsed nodes. For anything else the kernel matches while it has the page's tree, and only rows
+    that fit are built and sent; select() is there for nodes that are a table already."""
+    from ..sources.pages import node_rows, numbered, parse_nodes
+
+    parsed = parse_selectors(selector)
+    if parsed is None:
+        raise ValueError(f"invalid selector: {selector}")
+    if not needs_joins(parsed):
+        found = select(parse_nodes(pages, options), selector)
+        return found if columns is None else found.select(*columns)
+    o = options or Options()
+
+    def kernel(page_id: int, html: str | None):
+        if html is not None:
+            built = parse(html, o)
+            ix = Index()
+            number = numbered(built.doc)
+            wanted = {number[id(n)] for n in descendants(built.doc) if n.kind == "element" and matches_list(parsed, n, ix)}
+            if wanted:
+                yield from (r for i, r in enumerate(node_rows(page_id, built.doc, built.quirks)) if i in wanted)
+
+    return flat_map(pages.select("page_id", "html"), kernel, schemas.NODES, columns)
+
+
 def select_by_kernel(pages: DataFrame, selector: str) -> DataFrame:
     """page_id, node_id of what select() finds, told by the kernel page by page: the other way to the same result."""
-    from ..kernels.css_selectors import Index
-    from ..kernels.html_tree import descendants, parse
-    from ..sources.pages import _in_order
+    from ..sources.pages import numbered
 
     parsed = parse_selectors(selector)
     if parsed is None:
@@ -167,7 +199,7 @@ def select_by_kernel(pages: DataFrame, selector: str) -> DataFrame:
     def kernel(page_id: int, html: str | None):
         if html is not None:
             doc = parse(html).doc
-            number = {id(n): i for i, n in enumerate(_in_order(doc))}
+            number = numbered(doc)
             ix = Index()
             for n in descendants(doc):
                 if n.kind == "element" and matches_list(parsed, n, ix):

@@ -16,7 +16,7 @@ from ..kernels.font import Font
 from ..kernels.html_lexer import Lexer
 from ..kernels.html_tree import Options, parse
 from ..operators import navigate
-from ..operators.select import select
+from ..operators.select import select_from_pages
 from ..sources import pages as sources
 
 
@@ -39,11 +39,12 @@ class Corpus:
     def tokens(self) -> DataFrame:
         return sources.tokenize(self.pages)
 
-    def select(self, selector: str) -> DataFrame:
-        return select(self._with_tag(selector), selector)
+    def select(self, selector: str, columns: list[str] | None = None) -> DataFrame:
+        """Rows of nodes that a selector list fits; pages are parsed once."""
+        return select_from_pages(self._with_tag(selector), selector, self.options, columns)
 
     def _with_tag(self, selector: str) -> DataFrame:
-        """Nodes of pages that can hold the selector at all: a tag that no rule implies must stand in the raw text.
+        """Pages that can hold the selector at all: a tag that no rule implies must stand in the raw text.
 
         Only for one selector with a type whose element is never implied or renamed; anything else reads every page."""
         parsed = parse_selectors(selector)
@@ -51,8 +52,8 @@ class Corpus:
         if parsed and len(parsed) == 1:
             names = [s[1].lower() for s in parsed[0][0][0] if s[0] == "type"]
             if names and names[0] not in implied and names[0].isascii():
-                return sources.parse_nodes(self.pages.where(F.lower("html").contains(f"<{names[0]}")), self.options)
-        return self._nodes
+                return self.pages.where(F.lower("html").contains(f"<{names[0]}"))
+        return self.pages
 
     def text(self, selector: str) -> DataFrame:
         return navigate.text_content(self._nodes, self.select(selector))

@@ -245,6 +245,11 @@ def compute_styles(pages: DataFrame, env: Environment | None = None, properties:
     return flat_map(pages.select("page_id", "html"), kernel, schemas.COMPUTED)
 
 
+def numbered(doc: Node) -> dict[int, int]:
+    """Numbers of nodes in node_rows(), by id() of the node."""
+    return {id(n): i for i, n in enumerate(_in_order(doc))}
+
+
 def _in_order(doc: Node) -> Iterator[Node]:
     """Nodes in the order of their numbers in node_rows()."""
     work = [doc]
@@ -266,7 +271,7 @@ def layout_boxes(pages: DataFrame, env: Environment | None = None, fonts: list[F
         if html is None:
             return
         t = parse(html, o)
-        number = {id(n): i for i, n in enumerate(_in_order(t.doc))}
+        number = numbered(t.doc)
         root = Layout(Styles(t.doc, e), Faces(faces)).root
         work = [(root, None)] if root is not None else []
         count = 0

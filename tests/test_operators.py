@@ -6,7 +6,7 @@ from pagelake.catalog import DESKTOP
 from pagelake.kernels.css_selectors import parse_selectors
 from pagelake.kernels.html_tree import dump, parse
 from pagelake.operators import cascade, media, navigate
-from pagelake.operators.select import select, select_by_kernel
+from pagelake.operators.select import select, select_by_kernel, select_from_pages
 from pagelake.plans.corpus import Corpus
 from pagelake.sources import pages as P
 from pagelake.streaming import pages as streaming
@@ -55,6 +55,10 @@ def test_plan_and_kernel_select_the_same(spark, nodes, selector):
     a = [tuple(r) for r in select(nodes, selector).select("page_id", "node_id").collect()]
     b = [tuple(r) for r in select_by_kernel(spark.read.parquet(f"{SF}/pages.parquet"), selector).collect()]
     assert len(a) == len(set(a)) and set(a) == set(b)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    once = select_from_pages(pages, selector)
+    assert once.columns == nodes.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, select(nodes, selector).collect()))
 
 
 def test_selectors_over_odd_pages(spark):
