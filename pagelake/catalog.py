@@ -18,8 +18,8 @@ from . import fixtures as X
 from .functions import css as css_functions
 from .kernels.css_media import Environment
 from .kernels.css_selectors import Index, matches_host, parse_selectors
-from .kernels.css_syntax import parse_rules, parse_values, preprocess, raw_declarations, to_css
-from .kernels.css_values import PX, compute_custom, substitute
+from .kernels.css_syntax import block_contents, parse_one_declaration, parse_rule, parse_rules, parse_values, preprocess, raw_declarations, to_css
+from .kernels.css_values import compute_custom, substitute
 from .kernels.font import Font
 from .kernels.html_tree import Options, descendants as tree_nodes, dump, parse, parse_fragment
 from .operators import cascade, fonts, media, navigate
@@ -204,22 +204,21 @@ WITH ps AS (SELECT page_id, u.ord, starts_with(u.body, '<p><b>') AS own FROM pag
 k AS (SELECT *, sum(own::INT) OVER (PARTITION BY page_id ORDER BY ord) AS k FROM ps),
 d AS (SELECT page_id, CASE WHEN own THEN least(k - 1, 3) + 1 ELSE least(k, 3) END AS depth FROM k
       UNION ALL SELECT page_id, least(max(k), 3) FROM k GROUP BY page_id),
-e AS (SELECT page_id, depth, unnest(range(1, depth::BIGINT + 1)) AS level FROM d WHERE depth > 0)
-"""
+e AS (SELECT page_id, depth, unnest(range(1, depth::BIGINT + 1)) AS level FROM d WHERE depth > 0)"""
 
 
-@query("o_d14_b_counts", _B_MODEL + "SELECT page_id, count(*) AS b FROM e GROUP BY page_id")
+@query("o_d14_b_counts", _B_MODEL + " SELECT page_id, count(*) AS b FROM e GROUP BY page_id")
 def b_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_nodes(_pages(spark, sf_dir), columns=["page_id", "name"]).where("name = 'b'").groupBy("page_id").agg(F.count("*").alias("b"))
 
 
-@query("o_s13_b_weights", _B_MODEL + "SELECT CASE WHEN level = 1 THEN 700.0 ELSE 900.0 END::DOUBLE AS weight, count(*) AS n FROM e GROUP BY 1")
+@query("o_s13_b_weights", _B_MODEL + " SELECT CASE WHEN level = 1 THEN 700.0 ELSE 900.0 END::DOUBLE AS weight, count(*) AS n FROM e GROUP BY 1")
 def b_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Computed font-weight of b elements: 700 for the outermost, 900 inside."""
     return P.compute_styles(_pages(spark, sf_dir), properties=["font-weight"], tags=["b"]).groupBy(F.col("num").alias("weight")).agg(F.count("*").alias("n"))
 
 
-@query("o_s13_b_weights_by_page", _B_MODEL + "SELECT page_id, count(*) FILTER (level = 1) AS w700, count(*) FILTER (level > 1) AS w900 FROM e GROUP BY page_id")
+@query("o_s13_b_weights_by_page", _B_MODEL + " SELECT page_id, count(*) FILTER (level = 1) AS w700, count(*) FILTER (level > 1) AS w900 FROM e GROUP BY page_id")
 def b_weights_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.compute_styles(_pages(spark, sf_dir), properties=["font-weight"], tags=["b"])
     return s.groupBy("page_id").agg(F.count_if(F.col("num") == 700).alias("w700"), F.count_if(F.col("num") == 900).alias("w900"))
@@ -245,10 +244,12 @@ def style_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_style_attributes(cases).select("sheet_id", "name", "value", "important", "what")
 
 
-@query("o_i15_dump")
+@query("o_i15_dump", "SELECT page_id, '| <!DOCTYPE html>' AS head, len(regexp_extract_all(html, '<li>'))::BIGINT AS li, len(regexp_extract_all(html, '<a href'))::BIGINT AS a FROM pages")
 def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree of each page as text; tests hold it against the kernel's own dump."""
-    return navigate.dump(P.parse_nodes(_pages(spark, sf_dir)))
+    """The tree of each page as text: its first line, and lines of li and a. Tests hold the whole against the kernel's own dump."""
+    lines = navigate.dump(P.parse_nodes(_pages(spark, sf_dir))).select("page_id", F.split("dump", "\n").alias("x"))
+    ends = lambda tag: F.size(F.filter("x", lambda line: line.endswith(f" <{tag}>"))).cast("long").alias(tag)
+    return lines.select("page_id", F.get("x", F.lit(0)).alias("head"), ends("li"), ends("a"))
 
 
 @query("o_c01_css_tokens", "SELECT * FROM (VALUES ('ident', 'p'), ('{', '{'), ('ident', 'margin'), (':', ':'), ('number', '0'), ('}', '}')) t(kind, value)")
@@ -412,7 +413,7 @@ def hsl_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("h", "l", F.round(css_functions.hsl_channels(F.col("h"), F.lit(50.0), F.col("l"))["r"], 6).alias("r"))
 
 
-@query("o_v02_units", _values(["unit", "px"], [(u, float(p)) for u, p in PX.items()], {"px": "DOUBLE"}))
+@query("o_v02_units", "SELECT * FROM (VALUES ('px', 1.0::DOUBLE), ('in', 96.0), ('cm', 96 / 2.54::DOUBLE), ('mm', 96 / 25.4::DOUBLE), ('q', 96 / 101.6::DOUBLE), ('pt', 96 / 72::DOUBLE), ('pc', 16.0)) t(unit, px)")
 def unit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.units(spark).where("px IS NOT NULL")
 
@@ -502,7 +503,8 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.compute_styles(_pages(spark, sf_dir), properties=names, tags=["body"]).select("page_id", "property", "text")
 
 
-@query("o_s23_style_count")
+@query("o_s23_style_count", _B_MODEL + """, b AS (SELECT page_id, count(*) AS b FROM e GROUP BY page_id)
+SELECT page_id, (len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) - len(regexp_extract_all(html, '<b>')) + coalesce(b, 0))::BIGINT AS styled FROM pages LEFT JOIN b USING (page_id)""")
 def style_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.compute_styles(_pages(spark, sf_dir), properties=["display"]).groupBy("page_id").agg(F.count("*").alias("styled"))
 
@@ -688,17 +690,20 @@ def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("family", "size", m["ascent"].alias("ascent"), m["descent"].alias("descent"))
 
 
-@query("o_i13_font_files")
-def installed_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faces of the fonts that this machine has; none where there is no such folder."""
-    import os
+def _font_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"{i}.ttf", bytearray(X.font_file(**c[0]))) for i, c in enumerate(X.FONTS)], "path string, content binary")
+
+
+@query("o_i13_font_files", _values(["path", "family", "weight", "units_per_em", "glyphs", "ascender", "line_gap"], [(f"{i}.ttf", *c[1:5], 800, 50) for i, c in enumerate(X.FONTS)], {"weight": "INT", "units_per_em": "INT", "glyphs": "INT", "ascender": "INT", "line_gap": "INT"}))
+def font_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of font files built table by table; tests read such files from a folder."""
+    return P.font_faces(_font_files(spark)).select("path", "family", "weight", "units_per_em", "glyphs", F.col("ascender").cast("int").alias("ascender"), F.col("line_gap").cast("int").alias("line_gap"))
 
-    folders = [d for d in ("/usr/share/fonts", "/usr/local/share/fonts") if os.path.isdir(d)]
-    schema = "family string, subfamily string, weight int, italic boolean, units_per_em int, glyphs int"
-    if not any(f.lower().endswith((".ttf", ".otf", ".ttc")) for d in folders for _, _, fs in os.walk(d) for f in fs):
-        return spark.createDataFrame([], schema)
-    files = reduce(DataFrame.union, [P.read_fonts(spark, f"file://{d}") for d in folders])
-    return P.font_faces(files).select("family", "subfamily", "weight", "italic", "units_per_em", "glyphs")
+
+@query("o_i14_font_kerning", _values(["path", "advances"], [(f"{i}.ttf", c[5]) for i, c in enumerate(X.FONTS)], {}))
+def font_kerning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advances of "ab" by the files' own metrics, kern and GPOS tables."""
+    return flat_map(_font_files(spark), lambda path, content: [(path, " ".join(map(str, Font.parse(bytes(content)).kerned_advances("ab"))))], "path string, advances string")
 
 
 # more fixed cases of the kernels
@@ -753,6 +758,54 @@ def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, [c[:2] for c in X.SUBSTITUTIONS], lambda value, known: substitute(value, {n: v for n, v, _ in raw_declarations(known)}) or "invalid", "value")
 
 
+@query("o_c07_one_rule_cases", _values(["case_id", "outcome"], list(enumerate(c[1] for c in X.ONE_RULE)), {"case_id": "BIGINT"}))
+def one_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(css: str) -> str:
+        rule, why = parse_rule(preprocess(css))
+        return why if rule is None else rule["kind"]
+
+    return _cases(spark, [(c[0],) for c in X.ONE_RULE], kernel, "outcome")
+
+
+@query("o_c07_one_declaration_cases", _values(["case_id", "outcome"], list(enumerate(c[1] for c in X.ONE_DECLARATION)), {"case_id": "BIGINT"}))
+def one_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(css: str) -> str:
+        got, why = parse_one_declaration(preprocess(css))
+        return why if got is None else f"{got[0]}={to_css(got[1])}{'!' if got[2] else ''}"
+
+    return _cases(spark, [(c[0],) for c in X.ONE_DECLARATION], kernel, "outcome")
+
+
+@query("o_c08_contents_cases", _values(["case_id", "contents"], list(enumerate(c[1] for c in X.CONTENTS)), {"case_id": "BIGINT"}))
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(css: str) -> str:
+        said = {"declaration": lambda x: f"{x['name']}={to_css(x['value'])}", "at": lambda x: f"@{x['name']}", "style": lambda x: "{}"}
+        return "|".join(said[x["kind"]](x) for x in block_contents(parse_values(preprocess(css))))
+
+    return _cases(spark, [(c[0],) for c in X.CONTENTS], kernel, "contents")
+
+
+@query("o_s01_style_cases", _values(["case_id", "value"], list(enumerate(c[3] for c in X.STYLES)), {"case_id": "BIGINT"}))
+def style_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets with conditions, the cascade, failing var(), font sizes, line heights and calc(): a property of the first element of a name."""
+    pages = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(X.STYLES)], "page_id long, html string, tag string, wanted string")
+    styles = P.compute_styles(pages, DESKTOP, sorted({c[2] for c in X.STYLES})).select("page_id", "node_id", "property", "text")
+    named = P.parse_nodes(pages, columns=["page_id", "node_id", "name"]).join(pages.select("page_id", F.col("tag").alias("name"), F.col("wanted").alias("property")), ["page_id", "name"])
+    return styles.join(named, ["page_id", "node_id", "property"]).groupBy(F.col("page_id").alias("case_id")).agg(F.min_by("text", "node_id").alias("value"))
+
+
+_PLAIN_TREES = [(i, *c) for i, c in enumerate(X.TREES) if "content/" not in c[1]]
+
+
+@query("o_i15_dump_cases", _values(["case_id", "dump"], [(i, d) for i, _, d in _PLAIN_TREES], {"case_id": "BIGINT"}))
+def dump_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """navigate.dump() of the trees of o_d03, in their short form: a space for each level, lines joined."""
+    pages = spark.createDataFrame([c[:2] for c in _PLAIN_TREES], "page_id long, html string")
+    lines = F.split(F.substr("dump", F.lit(3)), r"\n\| ")
+    short = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\G  ", " ")), "/")
+    return navigate.dump(P.parse_nodes(pages)).select(F.col("page_id").alias("case_id"), short.alias("dump"))
+
+
 @query("o_q19_host_cases", _values(["case_id", "means_host"], list(enumerate(c[1] for c in X.HOSTS)), {"case_id": "BIGINT"}))
 def host_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(selector: str) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 # (html, dump of the tree with lines joined by "/", without indentation bars): one or more for each insertion mode.
 TREES = (
     ("<b>1<p>2</b>3</p>", "<html>/ <head>/ <body>/  <b>/   \"1\"/  <p>/   <b>/    \"2\"/   \"3\""),
@@ -32,6 +34,19 @@ TREES = (
     ("<textarea>\n<b></textarea><plaintext></plaintext>", "<html>/ <head>/ <body>/  <textarea>/   \"<b>\"/  <plaintext>/   \"</plaintext>\""),
     ("a<noscript><p>b</noscript>", "<html>/ <head>/ <body>/  \"a\"/  <noscript>/   <p>/    \"b\""),
     ("</body></html> <!--x-->", "<html>/ <head>/ <body>/  \" \"/<!-- x -->"),
+    ("<p a=1 A=2 b>x", "<html>/ <head>/ <body>/  <p>/   a=\"1\"/   b=\"\"/   \"x\""),
+    ("<svg><![CDATA[<b>&amp;]]>]]></svg>", "<html>/ <head>/ <body>/  <svg svg>/   \"<b>&amp;]]>\""),
+    ("<noscript><link rel=x><style>a</style></noscript><p>", "<html>/ <head>/  <noscript>/   <link>/    rel=\"x\"/   <style>/    \"a\"/ <body>/  <p>"),
+    ("<head><noscript><b>x", "<html>/ <head>/  <noscript>/ <body>/  <b>/   \"x\""),
+    ("<section><span><em>a</span>b", "<html>/ <head>/ <body>/  <section>/   <span>/    <em>/     \"a\"/   <em>/    \"b\""),
+    ("<p><ins>a</del>b", "<html>/ <head>/ <body>/  <p>/   <ins>/    \"ab\""),
+    ("<div><p>a</div>b</p>c", "<html>/ <head>/ <body>/  <div>/   <p>/    \"a\"/  \"b\"/  <p>/  \"c\""),
+    ("<select><button><selectedcontent></selectedcontent></button><option>a<option selected>b</select>", "<html>/ <head>/ <body>/  <select>/   <button>/    <selectedcontent>/     \"b\"/   <option>/    \"a\"/   <option>/    selected=\"\"/    \"b\""),
+    ("<i>a<b>b<div>c</b>d", "<html>/ <head>/ <body>/  <i>/   \"a\"/   <b>/    \"b\"/   <div>/    <b>/     \"c\"/    \"d\""),
+    ("<table><tr><th>a<td>b</table>", "<html>/ <head>/ <body>/  <table>/   <tbody>/    <tr>/     <th>/      \"a\"/     <td>/      \"b\""),
+    ("<p>a<hr>b<address>c", "<html>/ <head>/ <body>/  <p>/   \"a\"/  <hr>/  \"b\"/  <address>/   \"c\""),
+    ("<style><!--</style>x", "<html>/ <head>/  <style>/   \"<!--\"/ <body>/  \"x\""),
+    ("<math><annotation-xml encoding=text/html><p>x</math>", "<html>/ <head>/ <body>/  <math math>/   <math annotation-xml>/    encoding=\"text/html\"/    <p>/     \"x\""),
 )
 
 # (context namespace, context, html, dump of the fragment)
@@ -100,7 +115,14 @@ PROPERTIES = (
     ("min-width", "none", None),
     ("max-width", "fit-content", {"max-width": "fit-content"}),
     ("color", "red", None),
-)
+    ("width", "calc((1em + 2px) * 3)", {"width": "calc(3em + 6px)"}), ("width", "calc(10px / 0)", None), ("width", "calc(2 * 3)", None), ("width", "calc(1px * 1px)", None), ("width", "calc(50% - -1px)", {"width": "calc(50% + 1px)"}),
+    ("margin-top", "calc(1in + 1px)", {"margin-top": "calc(97px)"}), ("padding", "1px 2px 3px 4px 5px", None), ("padding", "1px 2px 3px", {"padding-top": "1px", "padding-right": "2px", "padding-bottom": "3px", "padding-left": "2px"}),
+    ("border-width", "thin 0", {"border-top-width": "thin", "border-right-width": "0px", "border-bottom-width": "thin", "border-left-width": "0px"}), ("border-style", "solid none", {"border-top-style": "solid", "border-right-style": "none", "border-bottom-style": "solid", "border-left-style": "none"}),
+    ("border", "none", {f"border-{s}-{k}": {"width": "medium", "style": "none"}[k] for s in ("top", "right", "bottom", "left") for k in ("width", "style")}), ("border", "1px 2px", None), ("display", "block math", {"display": "block math"}), ("display", "block inline", None),
+    ("position", "STICKY", {"position": "sticky"}), ("float", "inline-start", {"float": "inline-start"}), ("visibility", "collapse", {"visibility": "collapse"}), ("overflow", "scroll", {"overflow-x": "scroll", "overflow-y": "scroll"}), ("opacity", "2", {"opacity": "2"}),
+    ("font-weight", "350.5", {"font-weight": "350.5"}), ("font-size", "xxx-large", {"font-size": "xxx-large"}), ("font-size", "-1px", None), ("line-height", "120%", {"line-height": "120%"}), ("z-index", "auto", {"z-index": "auto"}), ("top", "1e2px", {"top": "100px"}), ("left", "1unit", None),
+    ("font", "small-caps 1em serif", {"font-size": "1em", "font-weight": "normal", "line-height": "normal", "font-family": "serif"}), ("font", "bold italic oblique normal small-caps 1em serif", None), ("box-sizing", "border-box", {"box-sizing": "border-box"}), ("max-height", "auto", None),
+)
 
 # (color, serialised or None)
 COLORS = (
@@ -117,6 +139,9 @@ MEDIA = (
     ("(width >= 64em)", "(width >= 64em)", True), ("(orientation: landscape)", "(orientation: landscape)", True), ("(hover) and (pointer: fine)", "(hover) and (pointer: fine)", True),
     ("(hover) and (color) or (grid)", "not all", False), ("not (unknown)", "not (unknown)", False), ("(unknown) or (width)", "(unknown) or (width)", True),
     ("(aspect-ratio: 4/3)", "(aspect-ratio: 4 / 3)", True), ("(min-resolution: 96dpi)", "(min-resolution: 96dpi)", True), ("(color-gamut: p3)", "(color-gamut: p3)", False),
+    ("(width: 1024.0005px)", "(width: 1024px)", True), ("(width: 1024.01px)", "(width: 1024.01px)", False), ("(min-width: 1024.0005px)", "(min-width: 1024px)", True), ("(width > 1023.9999px)", "(width > 1024px)", False),
+    ("(resolution: 96.00001dpi)", "(resolution: 96dpi)", True), ("(height < 768px)", "(height < 768px)", False), ("(768px >= height > 0px)", "(768px >= height > 0px)", True), ("not all and (monochrome)", "not all and (monochrome)", True),
+    ("(min-width: calc(10px * 2))", "(min-width: calc(20px))", True), ("screen and (max-width: 2000px), print and (orientation: portrait)", "screen and (max-width: 2000px), print and (orientation: portrait)", True),
     ("(prefers-color-scheme: dark), screen", "(prefers-color-scheme: dark), screen", True), ("all and (min-height:1px)", "(min-height: 1px)", True), ("(min-hover: hover)", "(min-hover: hover)", False),
 )
 
@@ -128,6 +153,9 @@ VARIABLES = (
     ("", "--a: 1px", "--a", "1px"), ("--a: x", "", "--a", "x"), ("--a: x", "--a: initial", "--a", ""), ("--a: x", "--a: inherit", "--a", "x"),
     ("", "--a: var(--b); --b: 2", "--a", "2"), ("", "--a: var(--b); --b: var(--a)", "--a", ""), ("", "--a: var(--no, 3)", "--a", "3"), ("", "--a: var(--no)", "--a", ""),
     ("", "--a: 1; --b: var(--a)var(--a)", "--b", "1/**/1"), ("--b: 5", "--a: var(--c, var(--b))", "--a", "5"), ("", "--a: {x", "--a", "{x"), ("", "--a: x)", "--a", ""),
+    ("", "--a: var(--b) x; --b: var(--c); --c: 1 2", "--a", "1 2 x"), ("", "--a: var(--a, 4)", "--a", ""), ("", "--a: var(--b, 1); --b: var(--a, 2)", "--b", ""), ("--a: 1", "--a: var(--a)", "--a", ""),
+    ("", "--a: ( var(--b) ); --b: [x]", "--a", "( [x] )"), ("", "--a: var(--b,)", "--a", ""), ("", "--a: #var(--b); --b: f00", "--a", "#var(--b)"), ("", "--a: var(--b)0; --b: 1", "--a", "1/**/0"), ("--a: 1", "--a: unset", "--a", "1"), ("", "--a: x !y", "--a", ""),
+    ("", "--a: var(--b, var(--c, 7))", "--a", "7"), ("", "--x: var(b)", "--x", ""), ("", "--x:  spaced  out  ", "--x", "spaced  out"), ("", "--x: 'var(--y)'; --y: 1", "--x", "'var(--y)'"),
     ("", "--A: 1; --a: 2", "--A", "1"), ("", "--a: 1 !important", "--a", "1"), ("", "--a: a; --b: b; --c: var(--a)var(--b)", "--c", "a/**/b"),
 )
 
@@ -140,6 +168,14 @@ LAYOUTS = (
     ("<!doctype html><div style='width:50%;min-width:500px;box-sizing:border-box;padding:10px;height:40px'></div>", "div", [(8.0, 8.0, 500.0, 40.0)]),
     ("<!doctype html><div style='margin-bottom:-5px;height:20px'></div><p style='height:1px;margin:0'></p>", "p", [(8.0, 23.0, 784.0, 1.0)]),
     ("<!doctype html><div style='overflow:hidden'><p style='height:10px;margin:7px'></p></div>", "div", [(8.0, 8.0, 784.0, 24.0)]),
+    ("<!doctype html><body style='margin:0;line-height:20px'><div>a<p style='height:5px;margin:0'></p>  </div>", "p", [(0.0, 20.0, 800.0, 5.0)]),
+    ("<!doctype html><body style='margin:0;line-height:20px'><div>a<p style='height:5px;margin:0'></p>  </div>", "div", [(0.0, 0.0, 800.0, 25.0)]),
+    ("<!doctype html><body style='margin:0'><div>  <p style='height:5px;margin:0'></p> <!-- --> </div>", "div", [(0.0, 0.0, 800.0, 5.0)]),
+    ("<!doctype html><div style='margin:10px 0'><p style='margin:30px 0'></p></div><p style='height:1px;margin:0'></p>", "p", [(8.0, 30.0, 784.0, 0.0), (8.0, 30.0, 784.0, 1.0)]),
+    ("<!doctype html><body style='margin:0'><div style='width:200px;margin-left:auto;height:1px'></div>", "div", [(600.0, 0.0, 200.0, 1.0)]),
+    ("<!doctype html><body style='margin:0'><div style='width:900px;margin:0 auto;height:1px'></div>", "div", [(0.0, 0.0, 900.0, 1.0)]),
+    ("<!doctype html><body style='margin:0'><div style='max-height:10px'><p style='height:40px;margin:0'></p></div><p style='height:1px;margin:0'></p>", "p", [(0.0, 0.0, 800.0, 40.0), (0.0, 10.0, 800.0, 1.0)]),
+    ("<!doctype html><body style='margin:0'><div style='height:200px'><p style='height:50%;margin:0'></p></div>", "p", [(0.0, 0.0, 800.0, 100.0)]),
     ("<!doctype html><div style='display:none'><p></p></div><section style='height:3px'></section>", "section", [(8.0, 8.0, 784.0, 3.0)]),
 )
 
@@ -178,3 +214,66 @@ SUBSTITUTIONS = (("var(--a) 2", "--a:1", "1 2"), ("calc(var(--b, 3px) + 1px)", "
 
 # (selector in a shadow tree's sheet, whether it means a host <div class=a>)
 HOSTS = ((":host", True), (":host(.a)", True), (":host(.b)", False), (":host(div.a)", True), (":host.a", False), ("div", False), (":host b", False), ("*", False))
+
+# (page, tag, property, its computed value on the first such element) on a 1024 x 768 desktop screen
+STYLES = (
+    ("<style>@media (min-width: 1px) { p { top: 1px } }</style><p>", "p", "top", "1px"), ("<style>@media print { p { top: 1px } }</style><p>", "p", "top", "auto"),
+    ("<style>@supports (display: flex) { p { top: 2px } } @supports (top: no) { p { top: 3px } }</style><p>", "p", "top", "2px"), ("<style>@layer x { p { top: 4px } }</style><p>", "p", "top", "4px"),
+    ("<style>@media screen { @supports (top: 1px) { p { top: 5px } } }</style><p>", "p", "top", "5px"), ("<style>@import 'x'; @font-face { p { top: 1px } } p { top: 6px }</style><p>", "p", "top", "6px"),
+    ("<style media=print>p { top: 1px }</style><style type=text/plain>p { top: 2px }</style><p>", "p", "top", "auto"), ("<style>p { top: 1px } @media (max-width: 1023px) { p { top: 2px } }</style><p>", "p", "top", "1px"),
+    ("<style>p, .a, #b { top: 1px } p.a { top: 2px }</style><p class=a id=b>", "p", "top", "1px"), ("<style>p { top: 1px !important } #b { top: 2px }</style><p id=b style='top: 3px'>", "p", "top", "1px"),
+    ("<svg><g hidden></g></svg>", "g", "display", "inline"), ("<b hidden>x</b>", "b", "display", "none"), ("<math><mi>x</mi></math>", "mi", "display", "block math"),
+    ("<style>p { top: 3px; top: var(--no) }</style><p>", "p", "top", "auto"), ("<style>div { font-weight: 700 } p { font-weight: var(--no) }</style><div><p>", "p", "font-weight", "700"),
+    ("<style>p { --w: 4px; margin: var(--w) var(--x, 5px) }</style><p>", "p", "margin-left", "5px"), ("<p style='--a: 1px solid; border: var(--a) red'>", "p", "border-top-width", "1px"), ("<p style='--a: banana; width: var(--a)'>", "p", "width", "auto"),
+    ("<div style='--a: 7px'><p style='width: var(--a)'>", "p", "width", "7px"), ("<p style='width: 1px; width: banana'>", "p", "width", "1px"),
+    ("<p style='font-size: larger'>", "p", "font-size", "19.2px"), ("<p style='font-size: x-small'>", "p", "font-size", "10px"), ("<pre style='font-size: large'>", "pre", "font-size", "16px"), ("<div style='font-size: 10px'><p style='font-size: smaller'>", "p", "font-size", "8.33333px"),
+    ("<div style='font-size: 200%'><tt>x", "tt", "font-size", "26px"), ("<p style='font-size: 2rem'>", "p", "font-size", "32px"), ("<p style='font-size: calc(1em + 50%)'>", "p", "font-size", "24px"),
+    ("<p style='font-size: 20px; line-height: 150%'>", "p", "line-height", "30px"), ("<p style='font-size: 20px; line-height: 1.5'>", "p", "line-height", "30px"), ("<div style='line-height: 1.5'><p style='font-size: 10px'>", "p", "line-height", "15px"),
+    ("<div style='font-size: 20px; line-height: 150%'><p style='font-size: 10px'>", "p", "line-height", "30px"), ("<p style='font-size: 20px; line-height: calc(50% + 3px)'>", "p", "line-height", "13px"), ("<p>", "p", "line-height", "normal"),
+    ("<p style='width: calc(50% + 10px - 1em)'>", "p", "width", "calc(50% - 6px)"), ("<p style='margin-left: calc(2 * (1em + 1px))'>", "p", "margin-left", "34px"), ("<p style='width: calc(10% - 3px)'>", "p", "width", "calc(10% - 3px)"), ("<p style='width: 10vw; height: 1vh'>", "p", "width", "102.4px"),
+    ("<p style='margin-top: 1in'>", "p", "margin-top", "96px"), ("<p style='border: 2px none'>", "p", "border-top-width", "0px"), ("<p style='border: 0.5px solid'>", "p", "border-top-width", "1px"), ("<p style='border: 2.9px solid'>", "p", "border-top-width", "2px"),
+    ("<p style='overflow-x: clip; overflow-y: scroll'>", "p", "overflow-x", "hidden"), ("<i style='position: absolute; float: left'>", "i", "float", "none"), ("<i style='position: absolute'>", "i", "display", "block"), ("<div style='display: flex'><i>", "i", "display", "block"),
+    ("<div style='display: grid'><i style='display: inline-table'>", "i", "display", "table"), ("<b><b><b>x", "b", "font-weight", "700"), ("<style>i { font-weight: lighter }</style><b><i>x", "i", "font-weight", "400"), ("<p style='opacity: 7'>", "p", "opacity", "1"),
+)
+
+# (css, what parsing one rule of it gives: its kind, or why there is none)
+ONE_RULE = (("a{}", "style"), (" @m x; ", "at"), ("", "empty"), (" /**/ ", "empty"), ("a{} b{}", "extra input"), ("a", "invalid"), ("@m{} x", "extra input"), ("a{", "style"))
+
+# (css, what parsing one declaration of it gives: "name=value" with "!" if important, or why there is none)
+ONE_DECLARATION = (("a: b", "a=b"), ("", "empty"), (" a : b c !important ", "a=b c!"), ("a b", "invalid"), ("1: b", "invalid"), (":", "invalid"))
+
+# (block, what is in it: declarations as "name=value", at-rules as "@name", nested rules as "{}", joined by "|")
+CONTENTS = (("a: b; c: d", "a=b|c=d"), ("a: b; & x { c: d } e: f", "a=b|{}|e=f"), ("@m x; a: b; @n { c: d }", "@m|a=b|@n"), ("a:hover { b: c } d: e", "{}|d=e"), ("--x: { y: z }; a: b", "--x={ y: z }|a=b"), ("junk; a: b", "a=b"), ("a: {b}", "a={b}"), ("", ""))
+
+# (unit, px) by the definitions of absolute units
+UNITS = (("px", 1.0), ("in", 96.0), ("cm", 96.0 / 2.54), ("mm", 96.0 / 25.4), ("q", 96.0 / 101.6), ("pt", 96.0 / 72.0), ("pc", 16.0))
+
+
+def font_file(kern: bool = False, positions: bool = False, family: str = "Face", bold: bool = True) -> bytes:
+    """A font with glyphs 1 and 2 for a and b, table by table; a before b is 50 units nearer by `kern` and 70 by `positions`."""
+    u = lambda *x: struct.pack(f">{len(x)}H", *(v & 0xFFFF for v in x))
+    name = family.encode("utf-16-be")
+    t = {
+        b"head": bytes(18) + u(1000) + bytes(24) + u(int(bold)) + bytes(8),
+        b"hhea": bytes(4) + u(800, -200, 50) + bytes(24) + u(2),
+        b"maxp": bytes(4) + u(3),
+        b"hmtx": u(100, 0, 600, 0),
+        b"cmap": u(0, 1, 3, 1, 0, 12) + u(4, 32, 0, 4, 0, 0, 0, 98, 0xFFFF, 0, 97, 0xFFFF, 1 - 97, 1, 0, 0),
+        b"name": u(0, 1, 18, 3, 1, 0x409, 1, len(name), 0) + name,
+    }
+    if kern:
+        t[b"kern"] = u(0, 1, 0, 20, 1, 1, 0, 0, 0, 1, 2, -50)
+    if positions:  # one script, one feature, one lookup of pairs
+        script = u(1) + b"DFLT" + u(8, 4, 0, 0, 0xFFFF, 1, 0)
+        feature = u(1) + b"kern" + u(8, 0, 1, 0)
+        lookup = u(1, 4, 2, 0, 1, 8) + u(1, 18, 4, 0, 1, 12, 1, 2, -70) + u(1, 1, 1)
+        t[b"GPOS"] = u(1, 0, 10, 10 + len(script), 10 + len(script) + len(feature)) + script + feature + lookup
+    head, body = b"\0\1\0\0" + u(len(t), 0, 0, 0), b""
+    for tag, raw in t.items():
+        head += tag + struct.pack(">III", 0, 12 + 16 * len(t) + len(body), len(raw))
+        body += raw
+    return head + body
+
+
+# (font_file's arguments, family, weight, units per em, glyphs, advances of "ab")
+FONTS = (({}, "Face", 700, 1000, 3, "600 600"), ({"bold": False, "family": "Other"}, "Other", 400, 1000, 3, "600 600"), ({"kern": True}, "Face", 700, 1000, 3, "550 600"), ({"positions": True}, "Face", 700, 1000, 3, "530 600"))

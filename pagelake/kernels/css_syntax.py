@@ -237,26 +237,53 @@ def _declaration(s: str, part: list[Token]) -> tuple[str, str, bool] | None:
 # generic rules
 
 
+def _rule_at(vals: list[Token], i: int) -> tuple[dict | None, int]:
+    """(the rule that begins at vals[i], None if its block is missing; where it ends)."""
+    at = vals[i].kind == "at"
+    j = i + at
+    while j < len(vals) and not (vals[j].kind == "block" and vals[j].value == "{") and not (at and vals[j].kind == ";"):
+        j += 1
+    block = vals[j].kids if j < len(vals) and vals[j].kind == "block" else None
+    if not at and block is None:
+        return None, j
+    return {"kind": "at" if at else "style", "name": vals[i].value if at else None, "prelude": vals[i + at : j], "block": block}, j + 1
+
+
 def parse_rules(s: str, top: bool = True) -> list[dict]:
     """Rules of a stylesheet (top: CDO and CDC are skipped): kind at or style, name, prelude and block as component values, block None if there is none."""
     vals = parse_values(s)
     out, i = [], 0
     while i < len(vals):
-        v = vals[i]
-        if v.kind == "ws" or (top and v.kind in ("cdo", "cdc")):
+        if vals[i].kind == "ws" or (top and vals[i].kind in ("cdo", "cdc")):
             i += 1
             continue
-        at = v.kind == "at"
-        j = i + 1 if at else i
-        while j < len(vals) and not (vals[j].kind == "block" and vals[j].value == "{") and not (at and vals[j].kind == ";"):
-            j += 1
-        block = vals[j] if j < len(vals) and vals[j].kind == "block" else None
-        if at or block is not None:
-            out.append({"kind": "at" if at else "style", "name": v.value if at else None, "prelude": vals[i + 1 if at else i : j], "block": block.kids if block is not None else None})
-        i = j + 1
+        rule, i = _rule_at(vals, i)
+        if rule is not None:
+            out.append(rule)
     return out
 
 
+def parse_rule(s: str) -> tuple[dict | None, str | None]:
+    """(the one rule that a text is, None) or (None, why it is none: empty, invalid or extra input)."""
+    vals = parse_values(s)
+    begin = next((i for i, v in enumerate(vals) if v.kind != "ws"), None)
+    if begin is None:
+        return None, "empty"
+    rule, end = _rule_at(vals, begin)
+    if rule is None:
+        return None, "invalid"
+    return (None, "extra input") if no_space(vals[end:]) else (rule, None)
+
+
+def parse_one_declaration(s: str) -> tuple[tuple[str, list[Token], bool] | None, str | None]:
+    """(the one declaration that a text is, None) or (None, why it is none: empty or invalid)."""
+    vals = parse_values(s)
+    if not no_space(vals):
+        return None, "empty"
+    got = parse_declaration(vals)
+    return got, None if got is not None else "invalid"
+
+
 def parse_declaration(vals: list[Token]) -> tuple[str, list[Token], bool] | None:
     vals = list(vals)
     while vals and vals[0].kind == "ws":
