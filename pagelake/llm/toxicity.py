@@ -144,11 +144,15 @@ def train(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     grades, y = np.unique(np.array([r["grade"] for r in got], np.int64), return_inverse=True)
     if len(grades) < 2:
         return NOTHING
-    parts = [np.frombuffer(r["f"], "<i4") for r in got]
-    r = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    values = np.concatenate([np.frombuffer(r["v"], "<f4") for r in got])
-    seen, feats = np.unique(np.concatenate(parts), return_inverse=True)
-    del got, parts  # the driver's memory is small
+    r = np.repeat(np.arange(len(got), dtype=np.int32), [len(r["f"]) // 4 for r in got])
+    values = np.frombuffer(b"".join(r["v"] for r in got), "<f4")
+    feats = np.frombuffer(b"".join(r["f"] for r in got), "<i4")
+    del got  # the driver's memory is small
+    number = np.zeros(FEATURES, np.int32)
+    number[feats] = 1
+    seen = np.flatnonzero(number)
+    number[seen] = np.arange(len(seen))
+    feats = number[feats]
     w, t = fit(r, feats, values, y, len(grades), max(1, len(seen)))
     used = np.flatnonzero(w)
     return Model(w[used].astype(np.float32), t, seen[used].astype(np.int64), grades)
