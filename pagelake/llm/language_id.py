@@ -48,14 +48,15 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability matrix of buckets by languages) from text and non-null lang.
 
-    Per language at most `sample_rows` rows are learned from; their counts are added up on the executors, and what
+    Per language at most `sample_rows` rows are learned from. How many rows a language has is sent to all tasks: one number for
+    each language, of which the model holds BUCKETS. The counts of n-grams are added up on the executors, and what
     comes to the driver is BUCKETS numbers for each language."""
     from pyspark.sql.window import Window
 
     ship(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("_h"))
     counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
-    few = known.join(counts, "lang").where(F.col("_h") < F.lit(float(1 << 40)) * 2 * (sample_rows + 8) / F.col("_n"))  # twice as many as wanted, about, whatever the language's size
+    few = known.join(F.broadcast(counts), "lang").where(F.col("_h") < F.lit(float(1 << 40)) * 2 * (sample_rows + 8) / F.col("_n"))  # twice as many as wanted, about, whatever the language's size
     best = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
     ids = cut(few.withColumn("_r", best).where(F.col("_r") <= sample_rows).select("doc_id").distinct(), "learned")
     sample = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(ids, "doc_id", "left_semi").select("text", F.col("lang").cast("string").alias("lang"))
