@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 from bisect import bisect_right
@@ -384,23 +385,68 @@ def faces_of(raw: bytes) -> list[Font]:
     return out
 
 
+class FontFile:
+    """A face of a font file by what its small tables say; load() reads the rest, once in each process that asks for it."""
+
+    def __init__(self, raw: bytes, index: int = 0):
+        t = tables(raw, index)
+        self.raw, self.index, self.digest = raw, index, hashlib.sha256(raw).digest()
+        self.weight, self.italic = _face_style(t)[:2]
+        names = [x for i in (16, 1) if b"name" in t and (x := name_text(t[b"name"], i)) is not None]
+        self.family = names[0] if names else ""
+
+    def load(self) -> Font:
+        key = (self.digest, self.index)
+        if key not in _loaded:
+            if len(_loaded) >= MOST_LOADED:
+                _loaded.clear()
+            _loaded[key] = Font.parse(self.raw, self.index)
+        return _loaded[key]
+
+
+#: Fonts that a process keeps.
+MOST_LOADED = 256
+_loaded: dict[tuple[bytes, int], Font] = {}
+
+
+def described(raw: bytes) -> list[FontFile]:
+    """All faces of a file whose tables can be found; what else is wrong with one shows when it is loaded."""
+    out = []
+    try:
+        for i in range(min(face_count(raw), MOST_FACES)):
+            try:
+                out.append(FontFile(raw, i))
+            except (BadFont, KeyError):
+                continue
+    except BadFont:
+        pass
+    return out
+
+
 class Faces:
-    """Fonts to choose from."""
+    """Fonts to choose from, whole ones or files of which only the chosen are loaded."""
 
-    def __init__(self, fonts: list[Font]):
-        self.fonts = fonts
+    def __init__(self, fonts: list[Font | FontFile]):
+        self.fonts = list(fonts)
         self.chosen: dict[tuple, Font | None] = {}
 
     def query(self, family: str, weight: int, italic: bool = False) -> Font | None:
-        """The face of a family nearest in style, then in weight: lighter ones first up to 500, heavier ones first above."""
+        """The face of a family nearest in style, then in weight: lighter ones first up to 500, heavier ones first above. A file that can't be loaded is no face."""
         key = (family, weight, italic)
         if key not in self.chosen:
             name = GENERIC.get(family.lower(), family).lower()
             near = [f for f in self.fonts if f.family.lower() == name]
 
-            def distance(f: Font) -> tuple[bool, int]:
+            def distance(f: Font | FontFile) -> tuple[bool, int]:
                 d = f.weight - weight
                 return f.italic != italic, abs(d) + (1000 if (d > 0 if weight <= 500 else d < 0) else 0)
 
-            self.chosen[key] = min(near, key=distance, default=None)
+            self.chosen[key] = next(filter(None, map(_whole, sorted(near, key=distance))), None)
         return self.chosen[key]
+
+
+def _whole(f: Font | FontFile) -> Font | None:
+    try:
+        return f.load() if isinstance(f, FontFile) else f
+    except BadFont:
+        return None

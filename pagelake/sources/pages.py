@@ -12,7 +12,7 @@ from ..kernels.css_media import Environment
 from ..kernels.css_syntax import preprocess, tokens
 from ..kernels.css_values import PROPERTIES, format_value, parse_property
 from ..kernels.css_selectors import specificity
-from ..kernels.font import Faces, Font, faces_of
+from ..kernels.font import Faces, Font, FontFile, faces_of
 from ..kernels.html_lexer import Lexer
 from ..kernels.html_tree import Node, Options, parse, parse_fragment
 from ..kernels.layout import Layout
@@ -263,16 +263,19 @@ def _in_order(doc: Node) -> Iterator[Node]:
             work.append(n.shadow)
 
 
-def layout_boxes(pages: DataFrame, env: Environment | None = None, fonts: list[Font] | None = None, options: Options | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Boxes of page_id, html in the viewport of env: border boxes in x, y, w, h, edges as top, right, bottom, left. Without fonts text has no width."""
-    e, o, faces = env or Environment(), options or Options(), fonts or []
+def layout_boxes(pages: DataFrame, env: Environment | None = None, fonts: list[Font | FontFile] | None = None, options: Options | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Boxes of page_id, html in the viewport of env: border boxes in x, y, w, h, edges as top, right, bottom, left. Without fonts text has no width.
+
+    Fonts go to each executor once; of font files (kernels.font.described) only those that pages ask for are parsed, once a process."""
+    e, o = env or Environment(), options or Options()
+    sent = pages.sparkSession.sparkContext.broadcast(list(fonts or []))
 
     def kernel(page_id: int, html: str | None) -> Iterator[tuple]:
         if html is None:
             return
         t = parse(html, o)
         number = numbered(t.doc)
-        root = Layout(Styles(t.doc, e), Faces(faces)).root
+        root = Layout(Styles(t.doc, e), Faces(sent.value)).root
         work = [(root, None)] if root is not None else []
         count = 0
         while work:

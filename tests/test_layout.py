@@ -4,7 +4,8 @@ import pytest
 
 from pagelake import fixtures
 from pagelake.kernels.css_media import Environment
-from pagelake.kernels.font import BadFont, Faces, Font, faces_of
+from pagelake.kernels import font as font_kernel
+from pagelake.kernels.font import BadFont, Faces, Font, described, faces_of
 from pagelake.kernels.html_tree import Options, descendants, parse
 from pagelake.kernels.layout import Layout
 from pagelake.kernels.style import Styles
@@ -76,6 +77,15 @@ def test_font_files():
     assert faces_of(b"no font at all") == [] and faces_of(b"") == []
 
 
+def test_font_files_are_loaded_when_asked_for():
+    files = described(fixtures.font_file(kern=True)) + described(fixtures.font_file(bold=False, family="Other")) + described(b"junk")
+    assert [(f.family, f.weight) for f in files] == [("Face", 700), ("Other", 400)]
+    faces = Faces([*files, *described(fixtures.font_file(family="Cut")[:-40])])
+    font_kernel._loaded.clear()
+    assert faces.query("face", 400).kerned_advances("ab") == [550, 600] and len(font_kernel._loaded) == 1
+    assert faces.query("none", 400) is None and Faces(files).query("Face", 700) is faces.query("Face", 400)
+
+
 def test_damaged_fonts_never_crash():
     rng, good = random.Random(1), fixtures.font_file(True, True)
     for _ in range(2000):
