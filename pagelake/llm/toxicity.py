@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,8 +17,9 @@ from .text import ALNUM, U64, hash_spans, lower, pieces, words
 #: Words are hashed to so many features; at most so many labelled rows are learned from, those with the least hash of doc_id.
 FEATURES, SAMPLE_ROWS = 1 << 20, 12_000
 #: Words enter the model in rounds, those whose score statistic on what is unexplained reaches LEAST_Z and half of the round's
-#: highest; strength of the penalty on weights; steps of the descent in a round.
-ROUNDS, LEAST_Z, PENALTY, STEPS = 12, 6.0, 1e-5, 300
+#: highest; with fewer than MANY rows above the lowest grade the bar falls with the square root of their number, as the statistic
+#: of a word that all of them have does; strength of the penalty on weights; steps of the descent in a round.
+ROUNDS, LEAST_Z, MANY, PENALTY, STEPS = 12, 6.0, 40, 1e-5, 300
 #: Probability of any grade above 0 from which a document is flagged.
 FLAG = 0.5
 #: Bytes of the word beginnings that are features beside whole words: stems carry many endings.
@@ -56,6 +58,7 @@ def fit(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray,
     So words are let in stagewise: of those that speak most for the grades that the model so far leaves open. Words that speak for
     clean texts stay out, so a text that has none of them isn't toxic for that."""
     n = len(y)
+    least = LEAST_Z * min(1.0, math.sqrt((y > 0).sum() / MANY))
     inside = np.zeros(width, bool)
     w, t = np.zeros(width), _logit(_shares(y, levels))
     for _ in range(ROUNDS):
@@ -65,7 +68,7 @@ def fit(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray,
         told = np.bincount(feats, open_part[rows] * values, width)
         spread = np.bincount(feats, np.maximum((p * (1 - p)).sum(1), 0.01)[rows] * values**2, width)
         z = np.where(inside, 0.0, told / np.sqrt(np.maximum(spread, 1e-9)))
-        new = z >= max(LEAST_Z, z.max() / 2)
+        new = z >= max(least, z.max() / 2)
         if not new.any():
             break
         inside |= new
