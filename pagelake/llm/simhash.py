@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import connected_components, cut, fresh, ship
+from .text import LOWER, pieces, row_bounds, words, xxh64
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
 #: One-wildcard buckets of up to so many fingerprints are compared pairwise; larger ones are keyed more finely, and so are
@@ -20,23 +19,53 @@ SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
 PAIRWISE, CROWDED = 32, 4096
 
 
+#: Shingles hashed at a time, and the most whose bits are added up in one byte each.
+AT_ONCE, IN_A_BYTE = 1 << 18, 255
+#: Each byte's eight bits as eight bytes.
+_SPREAD = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
+
+
+def _votes(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How often each of 64 bits is set in the hashes of each row, which ascend."""
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    count = np.diff(np.append(first, len(row)))
+    parts = -(-count // IN_A_BYTE)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(first, parts) + nth * IN_A_BYTE
+    sums = np.add.reduceat(_SPREAD[h.astype("<u8").view(np.uint8).reshape(-1, 8)], begin, axis=0)
+    out = np.zeros((rows, BITS), np.int64)
+    np.add.at(out, row[begin], sums.astype("<u8").view(np.uint8).reshape(-1, BITS))
+    return out
+
+
+def fingerprint_all(column: pa.Array) -> np.ndarray:
+    """The 64 majority bits of the XXH64 values of each text's word shingles, as signed longs."""
+    out = []
+    for lo, hi, data, offsets in pieces(column):
+        data = LOWER[data]
+        s, e, rows = words(data, offsets)
+        n = np.diff(row_bounds(rows, hi - lo))
+        # the words again with one space behind each: a shingle is a span of them
+        size = e - s + 1
+        at = np.cumsum(size) - size
+        joined = data[np.minimum(np.arange(size.sum()) - np.repeat(at - s, size), len(data) - 1)] if len(s) else data[:0]
+        joined[at + size - 1] = 32
+        shingles = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+        row = np.repeat(np.arange(hi - lo), shingles)
+        first = np.arange(len(row)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + np.repeat(np.cumsum(n) - n, shingles)
+        last = first + np.minimum(n[row], SHINGLE) - 1
+        votes = np.zeros((hi - lo, BITS), np.int64)
+        for k in range(0, len(row), AT_ONCE):  # bounded memory for a very long text
+            part = slice(k, k + AT_ONCE)
+            h = xxh64(joined, at[first[part]], at[last[part]] + size[last[part]] - 1, SEED)
+            votes += _votes(h, row[part], hi - lo)
+        out.append(np.packbits(2 * votes > shingles[:, None], axis=1, bitorder="little").view("<i8").ravel())
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def fingerprint(text: str | None) -> int:
-    """The 64 majority bits of the XXH64 values of a text's word shingles, as a signed long."""
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return 0
-    joined = b" ".join(w)
-    ends = list(accumulate(len(x) + 1 for x in w))
-    if len(w) < SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a : z - 1], SEED) for a, z in zip([0, *ends[: -SHINGLE]], ends[SHINGLE - 1 :], strict=True)]
-    h = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-    votes = np.zeros(BITS, np.int64)
-    for lo in range(0, len(h), 1 << 16):  # bounded memory for a very long text
-        votes += np.unpackbits(h[lo : lo + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0])
+    """The fingerprint of one text."""
+    return int(fingerprint_all(pa.array([text], pa.string()))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,9 +74,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprint_all(b.column(1)))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def hamming_links(fps: DataFrame, name: str = "fp") -> DataFrame:
@@ -114,7 +143,7 @@ def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(x.as_py()) for x in b.column(at)], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprint_all(b.column(at)))], names)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 

@@ -174,3 +174,51 @@ def ngram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, U64)
     at = np.arange(len(word_hashes) - n + 1)
     return hash_spans(word_hashes, at, at + n, WORD_BASE)
+
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << U64(bits)) | (x >> U64(64 - bits))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turn(acc + lane * _P2, 31) * _P1
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of data[s:e] for each span, all spans in step."""
+    with np.errstate(over="ignore"):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        fours = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))
+        at, size = starts.copy(), ends - starts
+        acc = np.full(len(at), U64(seed) + _P5)
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            v = [np.full(len(long), x) for x in (U64(seed) + _P1 + _P2, U64(seed) + _P2, U64(seed), U64(seed) - _P1)]
+            live = np.arange(len(long))
+            while len(live):
+                here = at[long[live]]
+                for k in range(4):
+                    v[k][live] = _round(v[k][live], eights[here + 8 * k])
+                at[long[live]] += 32
+                live = live[ends[long[live]] - at[long[live]] >= 32]
+            h = _turn(v[0], 1) + _turn(v[1], 7) + _turn(v[2], 12) + _turn(v[3], 18)
+            for x in v:
+                h = (h ^ _round(np.zeros_like(x), x)) * _P1 + _P4
+            acc[long] = h
+        acc += size.astype(U64)
+        left = ends - at
+        for width, step in ((8, lambda a, i: _turn(a ^ _round(np.zeros_like(a), eights[i]), 27) * _P1 + _P4), (4, lambda a, i: _turn(a ^ fours[i].astype(U64) * _P1, 23) * _P2 + _P3), (1, lambda a, i: _turn(a ^ padded[i].astype(U64) * _P5, 11) * _P1)):
+            live = np.flatnonzero(left >= width)
+            while len(live):
+                acc[live] = step(acc[live], at[live])
+                at[live] += width
+                left[live] -= width
+                live = live[left[live] >= width]
+        acc = (acc ^ (acc >> U64(33))) * _P2
+        acc = (acc ^ (acc >> U64(29))) * _P3
+        return acc ^ (acc >> U64(32))
