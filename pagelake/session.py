@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Pages in one Arrow batch for a kernel, and rows of one batch that it gives back.
-PAGES_PER_BATCH, ROWS_OUT = 256, 8192
+PAGES_PER_BATCH, ROWS_OUT = 512, 8192
 
 _shipped: set[str] = set()
 
